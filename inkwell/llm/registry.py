@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from inkwell.llm import exact_dedup, line_frequency, mixing, sharding
+from inkwell.llm import chat, exact_dedup, language, line_frequency, mixing, packing, sharding, token_count
 
 
 def queries() -> dict:
     return {
         "op1_min_cost_resharding": sharding.op1_min_cost_resharding,
         "op2_line_frequency": line_frequency.op2_line_frequency,
+        "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op5_source_mixing": mixing.op5_source_mixing,
+        "op6_token_count": token_count.op6_token_count,
+        "op7_budgeted_chat": chat.op7_budgeted_chat,
+        "op9_language_id": language.op9_language_id,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
         "pipeline": corpus_pipeline.run,
     }
