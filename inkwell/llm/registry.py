@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from inkwell.llm import chat, exact_dedup, language, line_frequency, mixing, packing, sharding, token_count
+from inkwell.llm import chat, exact_dedup, jaccard_join, language, line_frequency, mixing, packing, sharding, token_count
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_source_mixing": mixing.op5_source_mixing,
         "op6_token_count": token_count.op6_token_count,
         "op7_budgeted_chat": chat.op7_budgeted_chat,
+        "op8_ngram_jaccard_join": jaccard_join.op8_ngram_jaccard_join,
         "op9_language_id": language.op9_language_id,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
         "pipeline": corpus_pipeline.run,
