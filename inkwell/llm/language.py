@@ -284,6 +284,18 @@ def identify(docs: DataFrame, models: Models, *keep: str) -> DataFrame:
     return rows.mapInArrow(_predicting(packed, len(keep)), schema)
 
 
+def accepted_rows(docs: DataFrame, models: Models) -> DataFrame:
+    """The rows whose text has an accepted language, with their own columns."""
+    packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(models))
+
+    def run(batches):
+        own = pickle.loads(packed.value)
+        for b in batches:
+            yield b.filter(pa.array(own.predict(b.column(b.schema.get_field_index("text")).to_pylist())[2]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(key: str = "doc_id") -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
 

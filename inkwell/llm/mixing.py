@@ -104,7 +104,7 @@ def _slots(batches):
 def measure(docs: DataFrame, scratch: Scratch, source: str = "source", max_repeats: float = MAX_REPEATS) -> tuple[DataFrame, list[dict]]:
     """(rid, doc_id, src, size, start: place in the source's stream; sources in code-point order, null last)."""
     spark = scratch.spark
-    sized = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select("doc_id", F.xxhash64("text").alias("same"), F.monotonically_increasing_id().alias("rid"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     meta = scratch.cut(sized.withColumn("order", F.xxhash64("doc_id", "rid")).withColumn("part", F.pmod("order", F.lit(PARTS)).cast("int")), "sizes")
     parts = meta.groupBy("source", "part").agg(F.sum("size").alias("words")).collect()  # sources x PARTS rows
     names = sorted({r.source for r in parts}, key=lambda s: (s is None, s or ""))
@@ -121,7 +121,7 @@ def measure(docs: DataFrame, scratch: Scratch, source: str = "source", max_repea
     run = Window.partitionBy("source", "part").orderBy("order", "rid")
     placed = meta.withColumn("before", F.sum("size").over(run) - F.col("size"))
     on = placed["source"].eqNullSafe(first["fsource"]) & (placed["part"] == first["fpart"])
-    return placed.join(F.broadcast(first), on).select("rid", "doc_id", "src", "size", (F.col("first") + F.col("before")).alias("start")), sources
+    return placed.join(F.broadcast(first), on).select("rid", "doc_id", "same", "src", "size", (F.col("first") + F.col("before")).alias("start")), sources
 
 
 def slot_table(spark: SparkSession, sources: list[dict], block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
@@ -136,11 +136,11 @@ def slot_table(spark: SparkSession, sources: list[dict], block_words: int = BLOC
 
 
 def pieces(placed: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The part of every document in every block it touches: rid, doc_id, src, block, at (in the document), words."""
+    """The part of every document in every block it touches: rid, doc_id, same, src, size, block, at (in the document), words."""
     end = F.col("start") + F.col("size")
     spread = placed.filter("size > 0").select("*", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words))).alias("block"))
     low = F.greatest(F.col("start"), F.col("block") * block_words)
-    return spread.select("rid", "doc_id", "src", "block", (low - F.col("start")).alias("at"), (F.least(end, (F.col("block") + 1) * block_words) - low).alias("words"))
+    return spread.select("rid", "doc_id", "same", "src", "size", "block", (low - F.col("start")).alias("at"), (F.least(end, (F.col("block") + 1) * block_words) - low).alias("words"))
 
 
 def mix(docs: DataFrame, scratch: Scratch, source: str = "source") -> tuple[DataFrame, DataFrame, list[dict]]:
@@ -152,9 +152,18 @@ def mix(docs: DataFrame, scratch: Scratch, source: str = "source") -> tuple[Data
 
 
 def with_text(mixed: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pieces' words, joined by a space, as ``piece``; ``docs`` must be what was mixed, keyed by doc_id."""
-    words = docs.select("doc_id", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("_w"))
-    return mixed.join(words, "doc_id").withColumn("piece", F.array_join(F.slice("_w", (F.col("at") + 1).cast("int"), F.col("words").cast("int")), " ")).drop("_w")
+    """The mix as documents: for every pass over its source a row with what the mix takes of a document.
+
+    A document taken whole keeps its text; of others the words taken are joined by spaces. ``docs`` must be what was
+    mixed; rows that repeat both doc_id and text are taken together.
+    """
+    spans = mixed.groupBy("doc_id", "same", "turn").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("_spans"), F.sum("words").alias("_taken"), F.max("size").alias("_size"))
+    own = docs.withColumn("_same", F.xxhash64("text")).dropDuplicates(["doc_id", "_same"])
+    spans = spans.select(F.col("doc_id").alias("_id"), F.col("same").alias("_h"), "turn", "_spans", "_taken", "_size")
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    parts = F.flatten(F.transform("_spans", lambda s: F.slice(words, (s["at"] + 1).cast("int"), s["words"].cast("int"))))
+    out = own.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_same") == F.col("_h")))
+    return out.withColumn("text", F.when(F.col("_taken") >= F.col("_size"), F.col("text")).otherwise(F.array_join(parts, " "))).select(*docs.columns, "turn")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

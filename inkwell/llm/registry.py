@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from inkwell.llm import chat, exact_dedup, jaccard_join, language, line_frequency, mixing, packing, sharding, token_count
+from inkwell.llm import chat, exact_dedup, jaccard_join, language, line_dedup, line_frequency, mixing, packing, sharding, token_count
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op1_min_cost_resharding": sharding.op1_min_cost_resharding,
         "op2_line_frequency": line_frequency.op2_line_frequency,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op4_fuzzy_line_dedup": line_dedup.op4_fuzzy_line_dedup,
         "op5_source_mixing": mixing.op5_source_mixing,
         "op6_token_count": token_count.op6_token_count,
         "op7_budgeted_chat": chat.op7_budgeted_chat,
