@@ -46,9 +46,12 @@ class Scratch:
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove shuffle files of finished steps; it acts on the driver's garbage only."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def text_or_empty(col: str = "text") -> Column:

@@ -1,6 +1,6 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
-Lines are normalised (lower case, white space collapsed) and known by a 64-bit hash, so equal lines are one.
+Lines are normalised (lower case, no white space at the ends) and known by a 64-bit hash, so equal lines are one.
 Each distinct line is cut into character shingles; the least of its shingle hashes under each of BINS
 reorderings (exclusive-or with a constant, which makes every shingle of a union equally likely to be
 least) is its signature. Two ways to put signature rows together give BANDS bands of ROWS rows: a pair of
@@ -19,12 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import WORD, Scratch, free_shuffles, table, text_or_empty
+from inkwell.llm.common import Scratch, free_shuffles, table, text_or_empty
 from inkwell.llm.components import components
 
 SHINGLE, PERCENT = 8, 80
 BINS, ROWS = 24, 4
 ROUNDS = 3
+#: Bands whose cells are dealt out at once.
+BANDS_AT_ONCE = 4
 _GROUPS = [[r * ROWS + k for k in range(ROWS)] for r in range(BINS // ROWS)] + [[r + k * (BINS // ROWS) for k in range(ROWS)] for r in range(BINS // ROWS)]
 BANDS = len(_GROUPS)
 
@@ -39,8 +41,11 @@ def _constants() -> list[int]:
     return out
 
 
+_BLANKS = " \t\n\x0b\x0c\r"
+
+
 def normalised(line: Column) -> Column:
-    return F.lower(F.btrim(F.regexp_replace(line, r"[\x09-\x0D ]+", " ")))
+    return F.lower(F.btrim(line, F.lit(_BLANKS)))
 
 
 def document_key() -> Column:
@@ -48,8 +53,8 @@ def document_key() -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    each = docs.select("doc_id", document_key().alias("dk"), F.posexplode(F.split(text_or_empty(), "\n")).alias("line_no", "line")).filter(F.col("line").rlike(WORD))
-    return each.select("doc_id", "dk", "line_no", normalised(F.col("line")).alias("norm")).withColumn("lid", F.xxhash64("norm"))
+    each = docs.select("doc_id", document_key().alias("dk"), F.posexplode(F.split(text_or_empty(), "\n")).alias("line_no", "line"))
+    return each.select("doc_id", "dk", "line_no", normalised(F.col("line")).alias("norm")).filter("norm <> ''").withColumn("lid", F.xxhash64("norm"))
 
 
 def _units(norm: str = "norm") -> Column:
@@ -65,8 +70,8 @@ def _shingle(units: Column, at: Column) -> Column:
 
 
 def _shingle_set(norm: str) -> Column:
-    units = _units(norm)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), _n_shingles(units)), lambda p: _shingle(units, p)))
+    """Bound through a one-element array, so the text is encoded once and not for every shingle."""
+    return F.transform(F.array(_units(norm)), lambda u: F.array_distinct(F.transform(F.sequence(F.lit(1), _n_shingles(u)), lambda p: _shingle(u, p))))[0]
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -81,13 +86,13 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of which the shingle sets are similar enough. ``texts``: lid, norm."""
     x, y = texts.select(F.col("lid").alias("a"), F.col("norm").alias("x")), texts.select(F.col("lid").alias("b"), F.col("norm").alias("y"))
     near = pairs.join(x, "a").join(y, "b")
-    sets = near.select("a", "b", _shingle_set("x").alias("x"), _shingle_set("y").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return sets.filter(100 * both >= PERCENT * (F.size("x") + F.size("y") - both)).select("a", "b")
+    both = F.array(F.struct(_shingle_set("x").alias("x"), _shingle_set("y").alias("y")))
 
+    def similar(s: Column) -> Column:
+        common = F.size(F.array_intersect(s["x"], s["y"]))
+        return 100 * common >= PERCENT * (F.size(s["x"]) + F.size(s["y"]) - common)
 
-def _ordered(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    return near.filter(F.transform(both, similar)[0]).select("a", "b")
 
 
 def line_links(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -95,13 +100,16 @@ def line_links(docs: DataFrame, scratch: Scratch) -> DataFrame:
     spark = scratch.spark
     bands = scratch.cut(signatures(_lines(docs)), "bands")
     free_shuffles(spark)
-    cells = bands.select("lid", F.explode("bands").alias("band"))
-    keys = cells.groupBy("band").agg(F.min("lid").alias("a"), F.max("lid").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b")
-    keys = scratch.cut(keys, "keys")
-    # bands of two lines are complete as they are; only larger ones are read again
-    live = scratch.cut(cells.join(keys.filter("n > 2").select("band"), "band", "left_semi"), "live")
+    keys = live = None
+    for k in range(0, BANDS, BANDS_AT_ONCE):  # a part of the bands at a time bounds the shuffle files
+        cells = bands.select("lid", F.explode(F.slice("bands", k + 1, BANDS_AT_ONCE)).alias("band"))
+        some = cells.groupBy("band").agg(F.min("lid").alias("a"), F.max("lid").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b")
+        some = scratch.cut(some, f"keys-{k}")
+        # bands of two lines are complete as they are; only larger ones are read again
+        more = scratch.cut(cells.join(some.filter("n > 2").select("band"), "band", "left_semi"), f"live-{k}")
+        keys, live = (some, more) if keys is None else (keys.union(some), live.union(more))
+        free_shuffles(spark)
     scratch.drop("bands")
-    free_shuffles(spark)
     wanted = keys.select(F.col("a").alias("lid")).union(keys.select("b")).union(live.select("lid")).distinct()
     texts = scratch.cut(_lines(docs).select("lid", "norm").join(wanted, "lid", "left_semi").groupBy("lid").agg(F.max("norm").alias("norm")), "texts")
 
