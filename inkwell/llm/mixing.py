@@ -148,7 +148,8 @@ def mix(docs: DataFrame, scratch: Scratch, source: str = "source") -> tuple[Data
     placed, sources = measure(docs, scratch, source)
     placed = scratch.cut(placed, "placed")
     slots = slot_table(scratch.spark, sources)
-    return slots.join(pieces(placed), ["src", "block"]), placed, sources
+    # the slots come out of a small table of shards, so Spark would take them for small and broadcast them
+    return slots.hint("merge").join(pieces(placed), ["src", "block"]), placed, sources
 
 
 def with_text(mixed: DataFrame, docs: DataFrame) -> DataFrame:
