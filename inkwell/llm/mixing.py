@@ -156,9 +156,9 @@ def with_text(mixed: DataFrame, docs: DataFrame) -> DataFrame:
     """The mix as documents: for every pass over its source a row with what the mix takes of a document.
 
     A document taken whole keeps its text; of others the words taken are joined by spaces. ``docs`` must be what was
-    mixed; rows that repeat both doc_id and text are taken together.
+    mixed; rows that repeat both doc_id and text are taken each for itself.
     """
-    spans = mixed.groupBy("doc_id", "same", "turn").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("_spans"), F.sum("words").alias("_taken"), F.max("size").alias("_size"))
+    spans = mixed.groupBy("doc_id", "same", "rid", "turn").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("_spans"), F.sum("words").alias("_taken"), F.max("size").alias("_size"))
     own = docs.withColumn("_same", F.xxhash64("text")).dropDuplicates(["doc_id", "_same"])
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("same").alias("_h"), "turn", "_spans", "_taken", "_size")
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
