@@ -13,7 +13,7 @@ import os
 import numpy as np
 import regex
 
-#: Entries of a worker's cache before it is emptied, and the longest piece that is kept.
+#: Entries of a generation of a worker's cache, and the longest piece that is kept.
 CACHE_ENTRIES, CACHE_CHARS = 1 << 18, 48
 #: Characters that Python's regex and the library's classify alike: Latin script and general punctuation.
 _PLAIN = regex.compile("[\t\n\r -~¡-ɏ‐-‧‰-⁞€]*")
@@ -22,16 +22,19 @@ _WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L
 
 
 class _Cache(dict):
-    """Forgets all but its fixed part when it is full."""
+    """Two generations beside a fixed part: when the young one is full it becomes the old one, so what is used stays."""
 
     def __init__(self, make, fixed: dict | None = None):
         super().__init__(fixed or {})
-        self.make, self.fixed = make, fixed or {}
+        self.make, self.fixed, self.old = make, fixed or {}, {}
 
     def __missing__(self, piece: str):
-        out = self.make(piece)
+        out = self.old.get(piece)
+        if out is None:
+            out = self.make(piece)
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES + len(self.fixed):
+                self.old = dict(self)
                 self.clear()
                 self.update(self.fixed)
             self[piece] = out
