@@ -1,23 +1,25 @@
 """Tokens, packing, chat and language against the libraries and brute force."""
 
 import hashlib
+import json
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from inkwell.llm import chat, language, packing, token_count
 from inkwell.llm.common import Scratch
-from inkwell.llm.tokens import Pieces, tokenizer_path
+from inkwell.llm.tokens import Pieces, tokenizer_path, worker_pieces
 from tests.llm.fixtures import docs, empty, rows
 
 WORD, BYTE = tokenizer_path("word_bpe_49k.json"), tokenizer_path("byte_bpe_50k.json")
-ODD = ["İstanbul ſ ǅ ß", "a<|endoftext|>b", "<|startoftext|> x", " \t\n x", "ﬀ 那🦀", "", "éé", "x y\x1cz", "'S it'll  a  \n\n b", "½²ª", "é", "a\u0085b", "x" * 5000]
+ODD = ["İstanbul ſ ǅ ß", "a<|endoftext|>b", "<|startoftext|> x", " \t\n x", "ﬀ 那🦀", "", "éé", "x y\x1cz", "'S it'll  a  \n\n b", "½²ª", "é", "a\u0085b", "x" * 5000, " " * 3000 + "x", "\n \t" * 999]
 
 
 @pytest.mark.parametrize("path, word", [(WORD, True), (BYTE, False)])
@@ -28,6 +30,25 @@ def test_pieces_equal_the_library(path, word):
         assert np.frombuffer(p.ids(text), "<u4").tolist() == ids and p.count(text) == len(ids)
 
 
+def test_byte_vocabulary_is_encoded_by_rank(tmp_path):
+    assert Pieces(BYTE, False).fast is not None
+    spec = json.loads(Path(BYTE).read_text(encoding="utf-8"))
+    spec["model"]["merges"] = spec["model"]["merges"][::-1]  # tokens that their own bytes no longer merge to
+    (other := tmp_path / "other.json").write_text(json.dumps(spec), encoding="utf-8")
+    p, t = Pieces(str(other), False), Tokenizer.from_file(str(other))
+    assert p.fast is None
+    assert np.frombuffer(p.ids("some words here"), "<u4").tolist() == t.encode("some words here").ids
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.sampled_from("ab the'sré 12½²\n\t.,-—<|>Ⱥİ"), max_size=80))
+def test_any_plain_text_equals_the_library(text):
+    for path, word in ((WORD, True), (BYTE, False)):
+        p = worker_pieces(path, word)
+        assert np.frombuffer(p.ids(text), "<u4").tolist() == p.tok.encode(text, add_special_tokens=False).ids
+        assert p.count(text) == len(p.ids(text)) // 4
+
+
 def test_count_tokens(spark):
     got = token_count.count_tokens(docs(spark), WORD, True).collect()
     t = Tokenizer.from_file(WORD)
