@@ -2,9 +2,10 @@
 
 Lines are normalised (lower case, white space collapsed, digits as 0) and hashed. Per host the
 number of distinct documents with each line is counted: documents of equal text count once, so copies
-don't make their own lines frequent. A line in more documents of its host than the limit, the larger
-of ``min_docs`` and ``max_share`` of the host's documents, is removed. A document is depleted, and
-rejected, when fewer than ``min_words`` words or less than ``min_left`` of its words remain.
+don't make their own lines frequent. A line in more than ``min_docs`` documents of its host is removed,
+however large the host is: a share of the host would let passages in a few per cent of a large one
+stay. A document is depleted, and rejected, when fewer than ``min_words`` words or less than
+``min_left`` of its words remain.
 
 Defined cases: a null text has no words and fails the base rules; a null host is a host of its own;
 blank lines are never counted or removed; repeated rows are rows of their own; extra columns stay.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.common import WORD, Scratch, table, text_or_empty
 
-MIN_DOCS, MAX_SHARE = 20, 0.1
+MIN_DOCS = 20
 MIN_WORDS, MIN_LEFT = 50, 0.5
 _SYMBOLS = b"#*$%&|<>"
 _NOT_SYMBOL = bytes(x for x in range(256) if x not in _SYMBOLS)
@@ -63,7 +64,7 @@ def _counting(batches):
         yield pa.RecordBatch.from_arrays([*rest, *(pa.array(got[:, k]) for k in range(5))], names=[*(x for x in b.schema.names if x != "text"), *_COUNTS])
 
 
-def line_frequency(docs: DataFrame, scratch: Scratch, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT) -> DataFrame:
+def line_frequency(docs: DataFrame, scratch: Scratch, host: str = "source", min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT) -> DataFrame:
     """One row per row of ``docs``: doc_id, the base counts, removed_lines (hashes), words_left, base_failed, kept."""
     body = text_or_empty()
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD))
@@ -74,10 +75,8 @@ def line_frequency(docs: DataFrame, scratch: Scratch, host: str = "source", min_
 
     # documents of equal text count once: their rows collapse before anything is exploded
     texts = meta.groupBy("host", "same").agg(F.first("lines").alias("lines"))
-    hosts = texts.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    counted = texts.select("host", F.explode(F.array_distinct(F.col("lines.h"))).alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > min_docs)
-    same_host = counted["host"].eqNullSafe(hosts["host"])
-    frequent = scratch.cut(counted.join(hosts, same_host).filter(F.col("docs") > F.greatest(F.lit(min_docs), F.ceil(F.col("host_docs") * max_share))).select(counted["host"].alias("fhost"), F.col("h").alias("fh")), "frequent")
+    counted = texts.select("host", F.explode(F.array_distinct(F.col("lines.h"))).alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs"))
+    frequent = scratch.cut(counted.filter(F.col("docs") > min_docs).select(F.col("host").alias("fhost"), F.col("h").alias("fh")), "frequent")
 
     cells = meta.select("rid", "host", F.explode("lines").alias("l")).select("rid", "host", "l.h", "l.w")
     hit = cells.join(frequent, (F.col("h") == F.col("fh")) & F.col("host").eqNullSafe(F.col("fhost")))

@@ -105,6 +105,21 @@ def test_line_frequency(spark):
     assert joined.startswith(letters(3, 0)) and line_frequency.line_frequency(empty(spark), Scratch(spark, "t")).count() == 0
 
 
+def test_line_limit_of_a_hot_source(spark):
+    own = lambda k, n: " ".join(letters(k, j) for j in range(n))
+    passage = " ".join(f"passage{letters(j, j)}" for j in range(60))
+    data = []
+    for k in range(600):  # a footer in 4 %, a line in 20 documents, a passage in 25 of which 5 have little else
+        extra = "footer line\n" * (k < 24) + "rare line\n" * (100 <= k < 120) + (passage + "\n") * (200 <= k < 225)
+        data.append((k, extra + f"x{letters(k // 26, k)} " + own(k, 12 if 220 <= k < 225 else 60), "hot"))
+    data += [(1000 + k, f"footer line\n{letters(k, k)} " + own(k, 60), "cold") for k in range(20)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4)
+    got = {r.doc_id: r for r in line_frequency.line_frequency(df, Scratch(spark, "t")).collect()}
+    assert {k for k, r in got.items() if r.removed_lines} == set(range(24)) | set(range(200, 225))
+    assert {k for k, r in got.items() if not r.kept} == set(range(220, 225))
+    assert all(got[k].words_left == 61 for k in range(24)) and got[220].words_left == 13
+
+
 def test_targets_and_counts():
     assert mixing.targets([100, 100], [1, 3]) == [50, 150]
     assert mixing.targets([10, 1000, 0], [10, 1, 5]) == [30, 980, 0]
