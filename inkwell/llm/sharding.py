@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from inkwell.llm.common import Scratch, table, text_or_empty
+from inkwell.llm.common import Scratch, n_partitions, table, text_or_empty
 
 #: Blocks of an old shard; parts in which slots are numbered.
 BLOCKS, SLOT_PARTS = 1024, 1024
@@ -85,6 +85,11 @@ def equal_capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (k < total % shards) for k in range(shards)]
 
 
+def old_shard_of(text: str, n_old: int) -> Column:
+    """Where a row lies before, if nothing else is said: a hash of its text."""
+    return F.pmod(F.xxhash64(text_or_empty(text), F.lit("shard")), F.lit(n_old))
+
+
 def _sized(docs: DataFrame, old_shard: Column, text: str) -> DataFrame:
     body = text_or_empty(text)
     return docs.withColumns({"size": (F.octet_length(body) + 1).cast("long"), "group": F.xxhash64(body), "old_shard": old_shard.cast("int")}).withColumn("block", F.pmod(F.col("group"), F.lit(BLOCKS)).cast("int"))
@@ -161,7 +166,7 @@ def reshard(docs: DataFrame, n_old: int, n_new: int, scratch: Scratch, text: str
     ``old_shard``: where a row lies now; a hash of its text over ``n_old`` by default. It must be a
     function of the text if equal texts are to stay together.
     """
-    old = F.pmod(F.xxhash64(text_or_empty(text), F.lit("shard")), F.lit(n_old)) if old_shard is None else old_shard
+    old = old_shard_of(text, n_old) if old_shard is None else old_shard
     sized = _sized(docs, old, text)
     meta = scratch.cut(sized.select("size", "group", "old_shard", "block"), "sizes")
     if meta.isEmpty():
@@ -189,15 +194,32 @@ def rewrite(placed: DataFrame, facts: dict, out_dir: str, files_per_shard: int =
     """Writes the shards that gain or lose documents as Parquet, each by several tasks; returns their numbers."""
     touched = sorted({x for (o, j) in facts["moves"] if o != j for x in (o, j)})
     if touched:
-        rows = placed.filter(F.col("shard").isin(touched)).drop("group", "block", "old_shard", "size")
-        rows.repartition(len(touched) * files_per_shard, "shard", F.pmod(F.hash(*[c for c in rows.columns if c != "shard"][:1]), F.lit(files_per_shard))).write.mode("overwrite").partitionBy("shard").parquet(out_dir)
+        rows = placed.filter(F.col("shard").isin(touched)).drop("group", "block", "old_shard", "size").withColumn("shard", F.col("shard").cast("int"))
+        rows.repartition(len(touched) * files_per_shard, "shard", F.pmod(F.hash(*[c for c in rows.columns if c != "shard"][:1]), F.lit(files_per_shard))).write.mode("overwrite").partitionBy("shard").option("compression", "zstd").parquet(out_dir)
     return touched
 
 
+def resharded(placed: DataFrame, facts: dict, scratch: Scratch) -> DataFrame:
+    """The documents with shard as they lie after the move: touched shards read from the files written for them, the others where they were."""
+    rows = placed.drop("group", "block", "old_shard", "size").withColumn("shard", F.col("shard").cast("int"))
+    out_dir = f"{scratch.dir}/shards"
+    # files enough that a task's share doesn't grow with the input
+    touched = rewrite(placed, facts, out_dir, -(-n_partitions(scratch.spark) // max(1, len(facts["capacities"]))))
+    if not touched:
+        return rows
+    written = scratch.spark.read.schema(rows.schema).parquet(out_dir).select(*rows.columns)
+    return written.unionByName(rows.filter(~F.col("shard").isin(touched)))
+
+
+OLD, NEW = 5, 8
+
+
 def op1_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five old shards to eight of equal bytes."""
+    """Five old shards to eight of equal bytes. What is returned comes from the shards' files."""
     scratch = Scratch(spark, "reshard")
     docs = table(spark, sf_dir, "documents")
-    placed, _ = reshard(docs, 5, 8, scratch)
-    meta = scratch.cut(placed.select("doc_id", "size", "group", F.crc32(text_or_empty().cast("binary")).alias("text_crc32"), "shard", "old_shard"), "placed")
+    placed, facts = reshard(docs, OLD, NEW, scratch)
+    found = resharded(placed, facts, scratch)
+    sized = _sized(found, old_shard_of("text", OLD), "text")
+    meta = scratch.cut(sized.select("doc_id", "size", "group", F.crc32(text_or_empty().cast("binary")).alias("text_crc32"), "shard", "old_shard"), "placed")
     return with_slots(meta, scratch).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")

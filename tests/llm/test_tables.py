@@ -76,6 +76,44 @@ def test_reshard(spark, tmp_path):
     assert sharding.with_slots(sharding.reshard(empty(spark), 3, 4, Scratch(spark, "t"))[0], Scratch(spark, "t")).count() == 0
 
 
+def test_resharding_returns_what_the_files_hold(spark, tmp_path, monkeypatch):
+    base = docs(spark, 400).drop("size", "block")
+    base.write.parquet(str(tmp_path / "documents.parquet"))
+    seen = []
+    real = sharding.rewrite
+
+    def rewrite(placed, facts, out_dir, *more):
+        seen.append((out_dir, real(placed, facts, out_dir, *more)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(sharding, "rewrite", rewrite)
+    got = sharding.op1_min_cost_resharding(spark, str(tmp_path)).collect()
+    (out_dir, touched), = seen
+    files = Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode()), r.shard) for r in spark.read.parquet(out_dir).collect())
+    mine = Counter((r.doc_id, r.size, r.text_crc32, r.shard) for r in got)
+    assert touched and files == Counter({k: n for k, n in mine.items() if k[3] in touched})
+    assert sorted(map(str, (r[0] for r in got))) == sorted(str(r[0]) for r in rows(400))
+    placed, _ = sharding.reshard(base, sharding.OLD, sharding.NEW, Scratch(spark, "t"))
+    key = lambda r: (r.doc_id, r.old_shard, r.shard, r.slot)
+    assert Counter(map(key, got)) == Counter(map(key, sharding.with_slots(placed, Scratch(spark, "t")).collect()))
+
+
+def test_untouched_shards_are_not_written(spark):
+    base = docs(spark, 400).drop("size", "block")
+    size = sum(len((r[1] or "").encode()) + 1 for r in rows(400))
+    placed, facts = sharding.reshard(base, 3, 3, scratch := Scratch(spark, "t"), capacities=[1, size, size])
+    touched = {x for (o, j) in facts["moves"] if o != j for x in (o, j)}
+    got = sharding.resharded(placed, facts, scratch)
+    shards = lambda df: {r.shard for r in df.select("shard").distinct().collect()}
+    assert len(touched) == 2 and shards(spark.read.parquet(f"{scratch.dir}/shards")) <= touched and shards(got) - touched
+    same = lambda df: Counter((r.doc_id, r.text, r.shard) for r in df.collect())
+    assert got.columns == [*base.columns, "shard"] and same(got) == same(placed)
+    stay, facts = sharding.reshard(base, 2, 2, Scratch(spark, "t"), capacities=[size, size])
+    assert facts["moved"] == 0 and sharding.resharded(stay, facts, Scratch(spark, "t")).count() == len(rows(400))
+    none, facts = sharding.reshard(empty(spark), 3, 4, Scratch(spark, "t"))
+    assert sharding.resharded(none, facts, Scratch(spark, "t")).count() == 0
+
+
 def brute_counts(text):
     words = WORDS.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORDS.search(x)]
