@@ -160,6 +160,13 @@ def _cache_query(which: str):
     return run, f"WITH {FILES} SELECT doc_id, path FROM files WHERE ext IN {_in(ALL_EXTS)} AND " + (hit if which == "hits" else f"NOT ({hit})")
 
 
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, cached = _cached(spark, sf_dir)
+    found = f.filter(X.candidate_filter(SearchOptions(), ROOT)).select("doc_id", "path", "size", "modified")
+    hits, _ = probe(found, cached)
+    return found.agg(F.count(F.lit(1)).alias("total_count")).crossJoin(hits.agg(F.count(F.lit(1)).alias("cached_count")))
+
+
 _LINES_SQL = "array_to_string(list_filter(string_split({t}, chr(10)), lambda s: s <> ''), chr(10))"
 
 
@@ -295,7 +302,7 @@ def _build() -> dict[str, tuple]:
         f"WITH {_result_sql(_PHRASE_RE)} SELECT count(*) AS files_with_matches, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_matches FROM r",
     )
     q["summary_stats"] = (
-        lambda s, d: files(s, d).filter(X.candidate_filter(SearchOptions(), ROOT)).agg(F.count(F.lit(1)).alias("total_count"), F.count_if(F.col("doc_id") % 3 != 0).alias("cached_count")),
+        _stats,
         f"WITH {FILES} SELECT count(*) AS total_count, count(*) FILTER (doc_id % 3 <> 0) AS cached_count FROM files WHERE ext IN {_in(ALL_EXTS)} AND {_VISIBLE}",
     )
     damaged = lambda t: F.when(F.pmod(F.xxhash64(t), F.lit(7)).isNotNull() & (F.length(t) % 7 == 0), F.concat(F.lit("\0"), t)).otherwise(t)
