@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from inkwell.functions import labels as L
 from inkwell.functions.matching import SPACE_RUN, compile_query, match_count, match_spans, snippets
-from inkwell.model import DatePreset, SearchOptions, SortOrder
+from inkwell.model import MIB, DatePreset, SearchOptions, SortOrder
 from inkwell.operators import filters as X
 from inkwell.operators.cache import probe, storable, usage
 from inkwell.operators.results import as_results, csv_lines, match_rows, sort_keys, summary
@@ -264,7 +264,8 @@ def _build() -> dict[str, tuple]:
         f"WITH {FILES} SELECT doc_id, ext FROM files WHERE ext IN {_in(ALL_EXTS)}",
     )
     q["filter_size_bytes"] = (
-        lambda s, d: files(s, d).filter(F.col("size") <= 2000).select("doc_id", "size"),
+        # sizes times a MiB, as the option is in MiB: a limit that texts lie on both sides of
+        lambda s, d: files(s, d).filter(X.within_size(F.col("size") * MIB, SearchOptions(max_file_size_mb=2000))).select("doc_id", "size"),
         f"WITH {FILES} SELECT doc_id, size FROM files WHERE size <= 2000",
     )
     q["type_label"] = (
