@@ -10,7 +10,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 
 class ExtractError(Exception):
@@ -19,7 +19,7 @@ class ExtractError(Exception):
         self.code = code
 
 
-#: Largest sum of unpacked part sizes that is read from one package; guards against zip bombs.
+#: Largest sum of the unpacked sizes of those parts of a package that are read; guards against zip bombs.
 UNPACKED_LIMIT = 512 * 1024 * 1024
 
 _TAG = re.compile(r"<(?:!--.*?-->|!\[CDATA\[(?P<cdata>.*?)\]\]>|\?.*?\?>|!DOCTYPE(?:[^\[>\"']|\"[^\"]*\"|'[^']*'|\[[^\]]*\])*>|/(?P<end>[^\s>]+)\s*>|(?P<start>[^\s>/!?]+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?P<empty>/?)>)", re.S)
@@ -128,16 +128,17 @@ def _decoded(raw: bytes) -> str:
     return raw.decode("utf-8")
 
 
-def _package(raw: bytes) -> zipfile.ZipFile:
+def _package(raw: bytes, is_read: Callable[[str], bool]) -> zipfile.ZipFile:
     try:
         z = zipfile.ZipFile(io.BytesIO(raw))
     except Exception as e:
         raise ExtractError("ZIP_INVALID", "not a readable archive") from e
-    if sum(i.file_size for i in z.infolist()) > UNPACKED_LIMIT:
-        raise ExtractError("ZIP_INVALID", "archive unpacks to more than the limit")
+    if sum(i.file_size for i in z.infolist() if is_read(i.filename)) > UNPACKED_LIMIT:
+        raise ExtractError("ZIP_INVALID", "parts unpack to more than the limit")
     return z
 
 
+_ODF_PARTS = ("content.xml", "styles.xml")
 _STORIES = ("header", "footer", "footnotes", "endnotes", "comments")
 
 
@@ -163,7 +164,7 @@ def _joined(texts: list[str]) -> str:
 
 
 def text_of_word(raw: bytes) -> str:
-    z = _package(raw)
+    z = _package(raw, is_word_part)
     names = sorted((n for n in z.namelist() if is_word_part(n)), key=word_part_key)
     if not names:
         raise ExtractError("DOCX_NO_PART", "no document part in the archive")
@@ -181,11 +182,11 @@ def text_of_word(raw: bytes) -> str:
 
 
 def text_of_odf(raw: bytes) -> str:
-    z = _package(raw)
+    z = _package(raw, _ODF_PARTS.__contains__)
     if "content.xml" not in z.namelist():
         raise ExtractError("ODF_NO_CONTENT", "content.xml is missing")
     texts = []
-    for n in ("content.xml", "styles.xml"):
+    for n in _ODF_PARTS:
         if n in z.namelist():
             try:
                 texts.append(text_of_xml(_decoded(z.read(n)), False))

@@ -13,6 +13,7 @@ from inkwell.model import SearchOptions, SortOrder
 from inkwell.operators.cache import CACHE_SCHEMA, TextCache, probe, usage
 from inkwell.operators.results import sort_results
 from inkwell.plans.search import Search, Session, progress_steps, run_search, validate
+from inkwell.sources import markup
 from inkwell.sources.extract import extract_bytes
 from inkwell.sources.listing import walk
 from inkwell.sources.markup import text_of_xml, text_of_xml_guess, word_part_key
@@ -201,3 +202,13 @@ def test_streaming_follow(spark, tmp_path):
         assert sorted(len(r.matches) for r in spark.table("followed").collect()) == [1, 2]
     finally:
         q.stop()
+
+
+def test_unpacked_limit_counts_what_is_read(monkeypatch):
+    monkeypatch.setattr(markup, "UNPACKED_LIMIT", 1000)
+    word = lambda n: f"<w:p><w:t>{'x' * n}</w:t></w:p>"
+    media = {"word/media/image1.png": "p" * 5000, "Pictures/1.png": "p" * 5000, "word/styles.xml": "s" * 5000}
+    assert extract_bytes("docx", _zipped(media | {"word/document.xml": word(3)}))[:2] == ("xxx\n", None)
+    assert extract_bytes("odt", _zipped(media | {"content.xml": "<p>c</p>", "styles.xml": "<p>s</p>"}))[:2] == ("c\ns\n", None)
+    assert extract_bytes("docx", _zipped({"word/document.xml": word(600), "word/header1.xml": word(600)}))[1] == "ZIP_INVALID"
+    assert extract_bytes("odt", _zipped({"content.xml": "<p>c</p>", "styles.xml": f"<p>{'s' * 1000}</p>"}))[1] == "ZIP_INVALID"
