@@ -48,10 +48,36 @@ def free_shuffles(spark: SparkSession) -> None:
     import gc
     import time
 
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)
+
+
+#: Bits of the bitmap in ``among``; a constant, so what it broadcasts doesn't grow with the data.
+BITMAP_BITS = 25
+
+
+def among(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` (long hashes) is in the one column of ``wanted``, which has no repeats.
+
+    A bitmap of at most 2 ** BITMAP_BITS bits is broadcast first, so that few of the other rows are shuffled; where
+    the wanted keys fill it, it lets all rows pass to the exact join and nothing else changes.
+    """
+    bit = lambda c: F.pmod(F.col(c), F.lit(1 << BITMAP_BITS))
+    (name,) = wanted.columns
+    words = wanted.select(bit(name).alias("bit")).groupBy(F.expr("shiftright(bit, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("set"))
+    marked = df.withColumn("bit", bit(key)).withColumn("word", F.expr("shiftright(bit, 6)"))
+    some = marked.join(F.broadcast(words), "word").filter("(shiftright(set, cast(bit & 63 as int)) & 1) = 1").select(*df.columns)
+    # an inner join: the optimizer would push a semi join below the bitmap
+    return some.join(wanted.select(F.col(name).alias(key)), key).select(*df.columns)
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have, in any case."""
+    taken, name = {c.lower() for c in df.columns}, f"_{stem}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def text_or_empty(col: str = "text") -> Column:

@@ -1,43 +1,57 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
 Lines are normalised (lower case, no white space at the ends) and known by a 64-bit hash, so equal lines are one.
-Each distinct line is cut into character shingles; the least of its shingle hashes under each of BINS
-reorderings (exclusive-or with a constant, which makes every shingle of a union equally likely to be
-least) is its signature. Two ways to put signature rows together give BANDS bands of ROWS rows: a pair of
-Jaccard similarity 0.8 meets in a band with a probability of 0.99, of 0.85 with 0.998. In a band, lines
-are paired with a pivot, in a few rounds with new pivots while a band holds lines of more than one
-component, and at last lines of different components with each other. Pairs are verified by the exact
-Jaccard similarity of their shingle sets, each once. Verified pairs become components by
-distributed union-find; of each component the first occurrence stays, by doc_id and line number.
+
+1. Signatures: every line is cut into character shingles; the least of its shingle hashes under each of
+   MINIMA reorderings (exclusive-or with a constant) is its signature, made next to the scan and aggregated
+   before the shuffle, so a very common line costs no more than others.
+2. Banding: the minima are put together in WAYS ways, ROWS at a time. A pair of Jaccard similarity 0.8 meets in
+   one of the bands with a probability of 0.991, of 0.85 with 0.998, of 0.5 with 0.49. Band keys of one line
+   only go; a bitmap of fixed size finds the others' lines when signatures are read again.
+3. Each line of a band is paired with PIVOTS lines of it, chosen by hash: linear in the band, never all pairs.
+   Pairs are verified by the exact Jaccard similarity of their shingle sets, each once: on sets of 32-bit hashes,
+   and where one or two equal hashes of different shingles could turn the verdict, on the lines themselves.
+4. Verified pairs become components by distributed union-find. Lines of bands that now lie in one component, or
+   of which all pairs were seen, are done.
+5. The lines of the other bands are joined exactly: rare shingles first, a pair of different components must
+   share a shingle of both prefixes and pass the length and positional filters. What is verified joins
+   components. So pivots save work and lose no link between lines that meet in a band.
+6. Of each component the first occurrence stays, by doc_id and line number.
 
 Defined cases: blank lines are never compared and stay; a line shorter than a shingle is one shingle; a
-null text has no lines; rows that repeat both doc_id and text are one document; extra columns stay.
+null text has no lines; rows that repeat both doc_id and text are one document; null doc_ids come last; extra
+columns stay whatever their names, but for the count that ``dedup_lines`` adds under a name of the caller's choice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import Scratch, free_shuffles, table, text_or_empty
+from inkwell.llm.common import Scratch, among, free_name, free_shuffles, table, text_or_empty
 from inkwell.llm.components import components
 
 SHINGLE, PERCENT = 8, 80
-BINS, ROWS = 24, 4
-ROUNDS = 3
-#: Bands whose cells are dealt out at once.
-BANDS_AT_ONCE = 4
-_GROUPS = [[r * ROWS + k for k in range(ROWS)] for r in range(BINS // ROWS)] + [[r + k * (BINS // ROWS) for k in range(ROWS)] for r in range(BINS // ROWS)]
+MINIMA, ROWS, WAYS = 24, 4, 2
+PIVOTS = 4
+#: Shingles of a row; their least is taken before the aggregation looks up the line.
+FOLD = 4
+#: Bands whose keys are counted at once; bounds the shuffle files.
+BANDS_AT_ONCE = 6
+#: Counters of the table that orders shingles rare first; any order gives the same links.
+RARITY_BITS = 18
+_EACH = MINIMA // ROWS
+_GROUPS = [[r * ROWS + k for k in range(ROWS)] if w == 0 else [(r + w * k) % _EACH * ROWS + k for k in range(ROWS)] for w in range(WAYS) for r in range(_EACH)]
 BANDS = len(_GROUPS)
 
 
-def _constants() -> list[int]:
-    """Fixed 64-bit constants from a multiplicative sequence."""
+def _constants(n: int, bits: int) -> list[int]:
+    """Fixed signed constants from a multiplicative sequence."""
     out, x = [], 1
-    for _ in range(BINS):
+    for _ in range(n):
         x = x * 6364136223846793005 + 1442695040888963407 & (1 << 64) - 1
         y = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
-        out.append((y ^ y >> 32) - (1 << 63))
+        out.append(((y ^ y >> 32) >> 64 - bits) - (1 << bits - 1))
     return out
 
 
@@ -52,9 +66,10 @@ def document_key() -> Column:
     return F.xxhash64("doc_id", text_or_empty())
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    each = docs.select("doc_id", document_key().alias("dk"), F.posexplode(F.split(text_or_empty(), "\n")).alias("line_no", "line"))
-    return each.select("doc_id", "dk", "line_no", normalised(F.col("line")).alias("norm")).filter("norm <> ''").withColumn("lid", F.xxhash64("norm"))
+def _norms(docs: DataFrame, *keys: Column) -> DataFrame:
+    """One row per line that isn't blank: ``keys``, line_no, norm, lid."""
+    each = docs.select(*keys, F.posexplode(F.split(text_or_empty(), "\n")).alias("line_no", "line"))
+    return each.select(*each.columns[:-1], normalised(F.col("line")).alias("norm")).filter("norm <> ''").withColumn("lid", F.xxhash64("norm"))
 
 
 def _units(norm: str = "norm") -> Column:
@@ -65,95 +80,149 @@ def _n_shingles(units: Column) -> Column:
     return F.greatest(F.lit(1), (F.octet_length(units) / 2).cast("int") - SHINGLE + 1)
 
 
-def _shingle(units: Column, at: Column) -> Column:
-    return F.xxhash64(F.substring(units, 2 * at - 1, F.lit(2 * SHINGLE)))
+def _cut_at(units: Column, at: Column) -> Column:
+    return F.substring(units, 2 * at - 1, F.lit(2 * SHINGLE))
 
 
 def _shingle_set(norm: str) -> Column:
     """Bound through a one-element array, so the text is encoded once and not for every shingle."""
-    return F.transform(F.array(_units(norm)), lambda u: F.array_distinct(F.transform(F.sequence(F.lit(1), _n_shingles(u)), lambda p: _shingle(u, p))))[0]
+    return F.transform(F.array(_units(norm)), lambda u: F.array_distinct(F.transform(F.sequence(F.lit(1), _n_shingles(u)), lambda p: F.xxhash64(_cut_at(u, p)))))[0]
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """(lid, minima: array<int>) of every distinct line; the shingles of a line never leave its task."""
+    units = _norms(docs).select("lid", _units().alias("units"))
+    last = _n_shingles(F.col("units"))
+    places = units.select("lid", "units", F.explode(F.sequence(F.lit(1), last, F.lit(FOLD))).alias("p"))
+    each = places.select("lid", *[F.hash(_cut_at(F.col("units"), F.least(F.col("p") + j, last))).alias(f"s{j}") for j in range(FOLD)])
+    folded = [F.least(*[F.col(f"s{j}").bitwiseXOR(F.lit(c)) for j in range(FOLD)]) for c in _constants(MINIMA, 32)]
+    least = each.groupBy("lid").agg(*[F.min(f).alias(f"m{k}") for k, f in enumerate(folded)])
+    return least.select("lid", F.array(*[f"m{k}" for k in range(MINIMA)]).alias("minima"))
+
+
+def _cells(signed: DataFrame, first: int, n: int) -> DataFrame:
+    """(band, lid): the keys of some bands."""
+    keys = [F.xxhash64(F.lit(b), *[F.col("minima")[k] for k in _GROUPS[b]]) for b in range(first, min(BANDS, first + n))]
+    return signed.select("lid", F.explode(F.array(*keys)).alias("band"))
+
+
+def _shared_cells(signed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(band, lid) of the bands that hold more than one line."""
+    out = None
+    for k in range(0, BANDS, BANDS_AT_ONCE):
+        cells = _cells(signed, k, BANDS_AT_ONCE)
+        shared = cells.groupBy("band").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).filter("lo <> hi").select("band")
+        shared = scratch.cut(shared, f"shared-{k}")
+        free_shuffles(scratch.spark)
+        live = scratch.cut(among(cells, "band", shared), f"live-{k}")
+        out = live if out is None else out.union(live)
+    return out
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """(lid, bands: array of band keys). Lines meet once by their hash; the shingles of a line never leave its task."""
-    distinct = lines.groupBy("lid").agg(F.max("norm").alias("norm")).select("lid", _units().alias("units"))
-    each = distinct.select("lid", "units", F.explode(F.sequence(F.lit(1), _n_shingles(F.col("units")))).alias("p")).select("lid", _shingle(F.col("units"), F.col("p")).alias("s"))
-    least = each.groupBy("lid").agg(*[F.min(F.col("s").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(_constants())])
-    return least.select("lid", F.array(*[F.xxhash64(F.lit(b), *[f"m{k}" for k in g]) for b, g in enumerate(_GROUPS)]).alias("bands"))
+def _sets(texts: DataFrame) -> DataFrame:
+    """(lid, n, set): the distinct 32-bit hashes of each line's shingles."""
+    hashed = F.transform(F.array(_units()), lambda u: F.array_distinct(F.transform(F.sequence(F.lit(1), _n_shingles(u)), lambda p: F.hash(_cut_at(u, p)))))[0]
+    return texts.repartition("lid").select("lid", hashed.alias("set")).select("lid", F.size("set").alias("n"), "set")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of which the shingle sets are similar enough. ``texts``: lid, norm."""
-    x, y = texts.select(F.col("lid").alias("a"), F.col("norm").alias("x")), texts.select(F.col("lid").alias("b"), F.col("norm").alias("y"))
-    near = pairs.join(x, "a").join(y, "b")
-    both = F.array(F.struct(_shingle_set("x").alias("x"), _shingle_set("y").alias("y")))
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) of which the shingle sets are similar enough."""
+    x, y = (sets.select(F.col("lid").alias(k), F.col("n").alias(f"n{k}"), F.col("set").alias(f"set{k}")) for k in "ab")
+    near = pairs.join(y, "b").join(x, "a").filter(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+    over = (100 + PERCENT) * F.size(F.array_intersect("seta", "setb")) - PERCENT * (F.col("na") + F.col("nb"))
+    found = scratch.cut(near.select("a", "b", over.alias("over")), f"{name}-near")  # a filter here would count twice
+    tight = found.filter(F.abs("over") <= 2 * (100 + PERCENT)).select("a", "b")
+    p, q = texts.select(F.col("lid").alias("a"), F.col("norm").alias("p")), texts.select(F.col("lid").alias("b"), F.col("norm").alias("q"))
 
     def similar(s: Column) -> Column:
         common = F.size(F.array_intersect(s["x"], s["y"]))
         return 100 * common >= PERCENT * (F.size(s["x"]) + F.size(s["y"]) - common)
 
-    return near.filter(F.transform(both, similar)[0]).select("a", "b")
+    both = F.array(F.struct(_shingle_set("p").alias("x"), _shingle_set("q").alias("y")))
+    exact = tight.join(q, "b").join(p, "a").filter(F.transform(both, similar)[0]).select("a", "b")
+    return scratch.cut(found.filter(F.col("over") > 2 * (100 + PERCENT)).select("a", "b").union(exact), f"{name}-links")
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _with_pivots(live: DataFrame) -> DataFrame:
+    """(band, n, pivots): lines of each band that the others meet, least under reorderings of the band's own."""
+    ways = [F.col("band").bitwiseXOR(F.lit(c)) for c in _constants(PIVOTS + 1, 64)[1:]]
+    least = live.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *[F.min(F.col("lid").bitwiseXOR(w)).alias(f"p{k}") for k, w in enumerate(ways)])
+    return least.select("band", "n", F.array_distinct(F.array(*[F.col(f"p{k}").bitwiseXOR(w) for k, w in enumerate(ways)])).alias("pivots"))
+
+
+def prefix_pairs(opened: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): all pairs of different components that can reach the similarity. ``opened``: lid, comp, n, set.
+
+    A pair of sizes m and n needs an overlap of PERCENT * (m + n) / (100 + PERCENT); sharing a shingle at
+    the places p and q, counted from 1 in the rare-first order of both, it can have 1 + min(m - p, n - q) from
+    the first such place on. Lines of a shingle's largest component are met by the others only, never by each other.
+    """
+    each = opened.repartition("lid").select("lid", "comp", "n", F.explode("set").alias("s"))
+    slot = F.pmod("s", F.lit(1 << RARITY_BITS))
+    seen = scratch.cut(each.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("seen")), "rarity")
+    order = Window.partitionBy("lid").orderBy("seen", "s")
+    placed = each.withColumn("slot", slot).join(F.broadcast(seen), "slot").withColumn("p", F.row_number().over(order))
+    posts = scratch.cut(placed.filter(100 * (F.col("p") - 1) <= (100 - PERCENT) * F.col("n")).select("s", "lid", "comp", "n", "p"), "posts")
+    shares = posts.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("c", "comp")).alias("top"))
+    mixed = scratch.cut(shares.filter("lo <> hi").select("s", F.col("top.comp").alias("top")), "mixed")
+    x = posts.join(mixed, "s").filter("comp <> top")
+    y = posts.select("s", *[F.col(c).alias(f"{c}2") for c in ("lid", "comp", "n", "p")])
+    near = (
+        (F.col("comp") != F.col("comp2"))
+        & ((F.col("comp2") == F.col("top")) | (F.col("lid") < F.col("lid2")))
+        & (100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2"))
+        & ((100 + PERCENT) * (1 + F.least(F.col("n") - F.col("p"), F.col("n2") - F.col("p2"))) >= PERCENT * (F.col("n") + F.col("n2")))
+    )
+    met = x.join(y, "s").filter(near)
+    return met.select(*_ordered(F.col("lid"), F.col("lid2"))).distinct()
+
+
 def line_links(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root): the component of every distinct line that is similar to another."""
+    """(node, root): the component of every distinct line that is similar to another, but for the roots."""
     spark = scratch.spark
-    bands = scratch.cut(signatures(_lines(docs)), "bands")
+    signed = scratch.cut(signatures(docs), "signed")
+    free_shuffles(spark)
+    live = _shared_cells(signed, scratch)
+    scratch.drop("signed")
+    texts = scratch.cut(among(_norms(docs).select("lid", "norm"), "lid", live.select("lid").distinct()).groupBy("lid").agg(F.max("norm").alias("norm")), "texts")
     free_shuffles(spark)
-    keys = live = None
-    for k in range(0, BANDS, BANDS_AT_ONCE):  # a part of the bands at a time bounds the shuffle files
-        cells = bands.select("lid", F.explode(F.slice("bands", k + 1, BANDS_AT_ONCE)).alias("band"))
-        some = cells.groupBy("band").agg(F.min("lid").alias("a"), F.max("lid").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b")
-        some = scratch.cut(some, f"keys-{k}")
-        # bands of two lines are complete as they are; only larger ones are read again
-        more = scratch.cut(cells.join(some.filter("n > 2").select("band"), "band", "left_semi"), f"live-{k}")
-        keys, live = (some, more) if keys is None else (keys.union(some), live.union(more))
-        free_shuffles(spark)
-    scratch.drop("bands")
-    wanted = keys.select(F.col("a").alias("lid")).union(keys.select("b")).union(live.select("lid")).distinct()
-    texts = scratch.cut(_lines(docs).select("lid", "norm").join(wanted, "lid", "left_semi").groupBy("lid").agg(F.max("norm").alias("norm")), "texts")
-
-    def step(pairs: DataFrame, done: DataFrame | None, name: str) -> tuple[DataFrame, DataFrame]:
-        new = pairs.filter("a <> b").distinct()
-        new = scratch.cut(new if done is None else new.join(done, ["a", "b"], "left_anti"), f"{name}-pairs")
-        return new if done is None else done.union(new), scratch.cut(_verified(new, texts), f"{name}-links")
-
-    star = live.join(keys.select("band", F.col("a").alias("pivot")), "band").select(*_ordered(F.col("lid"), F.col("pivot")))
-    done, links = step(keys.select("a", "b").union(star), None, "first")
-    known, changed = None, True
-    for r in range(ROUNDS + 1):
-        if changed:
-            known = components(links, scratch, f"known-{r}")
-        marked = live.join(known, F.col("lid") == F.col("node"), "left").select("band", "lid", F.coalesce("root", "lid").alias("comp"))
-        turn = F.xxhash64("lid", F.lit(r))
-        open_ = marked.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(turn.alias("t"), "lid", "comp")).alias("p")).filter("lo <> hi")
-        open_ = scratch.cut(open_.select("band", F.col("p.lid").alias("pivot"), F.col("p.comp").alias("pivot_comp")), f"open-{r}")
-        if open_.isEmpty():
-            return known
-        if r < ROUNDS:
-            pairs = marked.join(open_, "band").filter(F.col("comp") != F.col("pivot_comp")).select(*_ordered(F.col("lid"), F.col("pivot")))
-        else:
-            rest = scratch.cut(marked.join(open_.select("band"), "band", "left_semi"), "rest")
-            other = rest.select("band", F.col("lid").alias("lid2"), F.col("comp").alias("comp2"))
-            pairs = rest.join(other, "band").filter((F.col("lid") < F.col("lid2")) & (F.col("comp") != F.col("comp2"))).select(F.col("lid").alias("a"), F.col("lid2").alias("b"))
-        done, more = step(pairs, done, f"round-{r}")
-        changed = not more.isEmpty()
-        if changed:
-            links = links.union(more)
-    return components(links, scratch, "known-last") if changed else known
+    sets = scratch.cut(_sets(texts), "sets")
+    bands = scratch.cut(_with_pivots(live), "bands")
+    star = live.join(bands.select("band", F.explode("pivots").alias("pivot")), "band").filter("lid <> pivot")
+    pairs = scratch.cut(star.select(*_ordered(F.col("lid"), F.col("pivot"))).distinct(), "pairs")
+    known = components(_verified(pairs, sets, texts, scratch, "first"), scratch, "known")
+    free_shuffles(spark)
+
+    comp = F.coalesce("root", "lid").alias("comp")
+    partly = bands.filter(F.size("pivots") < F.col("n") - 1).select("band")
+    marked = scratch.cut(live.join(partly, "band", "left_semi").join(known, F.col("lid") == F.col("node"), "left").select("band", "lid", comp), "marked")
+    split = marked.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band")
+    opened = scratch.cut(marked.join(split, "band", "left_semi").select("lid", "comp").distinct().join(sets, "lid"), "opened")
+    if opened.isEmpty():
+        return known
+    rest = scratch.cut(prefix_pairs(opened, scratch), "rest")
+    late = _verified(rest, sets, texts, scratch, "late")
+    free_shuffles(spark)
+    if late.isEmpty():
+        return known
+    return components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).union(late), scratch, "all")
 
 
 def line_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """One row per line that isn't blank: doc_id, dk, line_no (from 0), keep_doc_id, keep_line_no, kept."""
     roots = line_links(docs, scratch)
-    own = scratch.cut(_lines(docs).select("doc_id", "dk", "line_no", "lid").distinct(), "lines")
-    keyed = scratch.cut(own.join(roots, F.col("lid") == F.col("node"), "left").select("doc_id", "dk", "line_no", F.coalesce("root", "lid").alias("key")), "keyed")
-    first = keyed.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "dk", "line_no")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "f")
-    out = keyed.join(first, "key", "left")
+    free_shuffles(scratch.spark)
+    own = scratch.cut(_norms(docs, F.col("doc_id"), document_key().alias("dk")).select("doc_id", "dk", "line_no", "lid").distinct(), "lines")
+    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "dk", "line_no")
+    once = scratch.cut(own.groupBy("lid").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).join(roots, F.col("lid") == F.col("node"), "left").select("lid", "f", "n", F.coalesce("root", "lid").alias("key")), "once")
+    group = once.groupBy("key").agg(F.min("f").alias("f"), F.sum("n").alias("n")).filter("n > 1").select("key", "f")
+    first = scratch.cut(once.select("lid", "key").join(group, "key").select("lid", "f"), "first")
+    free_shuffles(scratch.spark)
+    out = own.join(first, "lid", "left")
     alone = F.col("f").isNull()
     return out.select(
         "doc_id", "dk", "line_no", F.when(alone, F.col("doc_id")).otherwise(F.col("f.doc_id")).alias("keep_doc_id"), F.when(alone, F.col("line_no")).otherwise(F.col("f.line_no")).alias("keep_line_no"),
@@ -161,14 +230,16 @@ def line_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``docs`` with the lines that don't stay taken out of text; n_lines_removed says how many."""
-    gone = line_classes(docs, scratch).filter(~F.col("kept")).groupBy(F.col("dk").alias("_dk")).agg(F.collect_list("line_no").alias("_gone"))
+def dedup_lines(docs: DataFrame, scratch: Scratch, count: str = "n_lines_removed") -> DataFrame:
+    """``docs`` with the lines that don't stay taken out of text; the column ``count`` says how many."""
+    gone = line_classes(docs, scratch).filter(~F.col("kept")).groupBy("dk").agg(F.collect_list("line_no").alias("gone"))
     gone = scratch.cut(gone, "gone")
     free_shuffles(scratch.spark)
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    out = docs.withColumn("_key", document_key()).join(gone, F.col("_key") == F.col("_dk"), "left")
-    return out.withColumns({"text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")), "n_lines_removed": F.coalesce(F.size("_gone"), F.lit(0))}).drop("_key", "_dk", "_gone")
+    key, out_of = free_name(docs, "key"), free_name(docs, "out_of")
+    gone = gone.select(F.col("dk").alias(key), F.col("gone").alias(out_of))
+    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(out_of, i))
+    out = docs.withColumn(key, document_key()).join(gone, key, "left")
+    return out.withColumns({"text": F.when(F.col(out_of).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")), count: F.coalesce(F.size(out_of), F.lit(0))}).drop(key, out_of)
 
 
 def op4_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

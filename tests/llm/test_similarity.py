@@ -117,6 +117,40 @@ def test_line_classes(spark):
     assert line_dedup.line_classes(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_line_recall(spark):
+    """Similarities from 0.7 to 0.95, and a family of a few hundred lines that share bands but not a component."""
+    rng, letters = random.Random(11), "abcdefghijklmnopqrstuvwxyz    "
+    text = lambda n: "".join(rng.choice(letters) for _ in range(n)).strip() + "."
+
+    def edited(line, n):
+        out = list(line)
+        for _ in range(n):
+            out[rng.randrange(len(out))] = rng.choice(letters)
+        return "".join(out)
+
+    bases = [text(rng.choice((60, 150, 400))) for _ in range(150)]
+    lines = [x for b in bases for x in (b, edited(b, max(1, len(b) // rng.choice((60, 80, 110)))))]
+    family = text(300)
+    lines += [edited(family, rng.randint(0, 6)) for _ in range(250)] + [text(30000)] * 2
+    lines.append(edited(lines[-1], 100))
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    want = groups({k: line_set(x) for k, x in enumerate(lines) if x.strip()}, line_dedup.PERCENT)
+    got = {r.doc_id: r.keep_doc_id for r in line_dedup.line_classes(df, Scratch(spark, "t")).collect()}
+    assert set(got) == set(want) and all(want[k] == want[v] for k, v in got.items())  # nothing joined that isn't linked
+    gone = sum(k != v for k, v in want.items())
+    assert gone > 100 and sum(k != v for k, v in got.items()) >= 0.97 * gone
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "some line of text here"), (1, "some line of text here"), (2, "some line of text here\nown line"), (None, "some line of text here")], "doc_id long, text string")
+    df = df.withColumns({c: F.lit("mine") for c in ("_key", "_out_of", "dk", "gone", "n_lines_removed", "lid", "norm", "bit", "word", "set")})
+    out = line_dedup.dedup_lines(df, Scratch(spark, "t"), "removed_here")
+    assert out.columns == [*df.columns, "removed_here"]
+    rows = sorted((r.doc_id or 9, r.text, r._key, r.n_lines_removed, r.removed_here) for r in out.collect())
+    first = (1, "some line of text here", "mine", "mine", 0)
+    assert rows == [first, first, (2, "own line", "mine", "mine", 1), (9, "", "mine", "mine", 1)]
+
+
 def test_pipeline(spark):
     source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(120)
     odd = spark.createDataFrame([(9001, None, "en", "s", None), (9002, "", None, None, 0), (9003, "12 34", "en", "s", 5)], source.schema)
