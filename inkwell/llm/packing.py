@@ -3,14 +3,18 @@
 The driver sees the length histogram only. The program's columns are configurations, multisets of
 lengths that fit one sequence; its rows are lengths. Multiplicative weights solve it: every length
 carries a weight that falls as it is covered, a knapsack dynamic program prices the best completion of
-every length at once, and all near-best configurations advance by a step. The solution is rounded
-within what is there, and what is left is packed best fit, longest first. Pieces then find their
-sequence by rank: the pieces of one length are numbered, in parts so that no task has them all, and a
-table of rank intervals, one per item of a configuration, gives sequence and offset.
+every length at once, and near-best configurations advance; what they have used up leaves the prices and
+the program is priced again. Any weights give a lower bound (their total by the best configuration's value),
+so the gap is known. The solution is rounded down, what is left is priced and covered again by whole
+configurations, and only the remainder is packed best fit, longest first.
+
+Pieces find their sequence by rank. A task numbers its own pieces of each length; the numbers of tasks are
+summed per length; a table of rank intervals, one per item of a configuration, gives sequence and offset. Pieces
+as long as the window are sequences by themselves and take part in none of this.
 
 Defined cases: a null text is an empty one, the end token alone; only documents longer than the window
-are cut, the first piece takes the remainder; repeated rows are rows of their own; an empty table
-gives an empty result.
+are cut, the first piece takes the remainder; repeated rows are rows of their own; extra columns are left
+out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,10 +32,11 @@ from inkwell.llm.common import Scratch, table, text_or_empty
 from inkwell.llm.tokens import tokenizer_path, worker_pieces
 
 WINDOW, END_ID = 2048, 0
-#: Rounds of multiplicative weights, their rate, and how near to the best each step of a configuration must be.
-ROUNDS, RATE, NEAR = 8, 0.05, 0.0005
-#: Parts in which the pieces of a length are numbered.
-PARTS = 64
+#: Ways to solve: rounds of multiplicative weights, prices a round, their rate, and by what part of a token's weight a
+#: configuration may miss the best. Low rates suit histograms that fill windows to the brim, high ones those that can't.
+WAYS = ((12, 6, 0.00002, 0.6), (40, 4, 0.02, 1.0))
+#: The second way is tried if the first leaves more than this over the lower bound.
+GAP = 0.001
 
 
 def price(weights: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +55,7 @@ def price(weights: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return best, last
 
 
-def _column(first: int, weights: np.ndarray, best: np.ndarray, room: np.ndarray, window: int) -> list[int]:
+def _column(first: int, weights: np.ndarray, best: np.ndarray, room: np.ndarray, window: int, near: float) -> list[int]:
     """A near-best configuration with ``first``, each next length near-best and the one with most room; or empty."""
     out, capacity, value = [first], window - first, weights[first]
     while capacity > 0:
@@ -57,43 +63,73 @@ def _column(first: int, weights: np.ndarray, best: np.ndarray, room: np.ndarray,
         if top <= 0:
             break
         w = weights[1 : capacity + 1]
-        good = (w >= 0) & (w + best[capacity - 1 :: -1] >= top * (1 - NEAR))
+        good = (w >= 0) & (w + best[capacity - 1 :: -1] >= top * (1 - near))
         k = int(np.where(good, room[1 : capacity + 1], -1.0).argmax()) + 1
-        if room[k] <= 0 or not good[k - 1]:
+        if room[k] <= 1e-9 or not good[k - 1]:
             break
         out.append(k)
         value += weights[k]
         capacity -= k
-    return out if value >= (1 - NEAR) * best[window] else []
+    return out if value >= (1 - near) * best[window] else []
+
 
+def _advance(room: np.ndarray, weights: np.ndarray, best: np.ndarray, used: dict[tuple[int, ...], float], window: int, near: float) -> bool:
+    """Near-best configurations, longest length first, take what room there is; ``room`` and ``used`` change."""
+    moved = False
+    for length in np.flatnonzero(weights >= 0)[::-1]:
+        while room[length] > 1e-9:
+            kinds, times = np.unique(np.array(_column(int(length), weights, best, room, window, near), np.int64), return_counts=True)
+            step = float((room[kinds] / times).min()) if len(kinds) else 0.0
+            if step <= 1e-9:
+                break
+            a = tuple(np.repeat(kinds, times)[::-1].tolist())
+            used[a] = used.get(a, 0.0) + step
+            room[kinds] -= step * times
+            moved = True
+    return moved
 
-def configuration_lp(counts: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
-    """Configurations (lengths, longest first) and how often each is used; no length is covered beyond its count.
 
-    A round prices once, then advances near-best configurations until every length is covered to the
-    round's share, or no near-best configuration has room.
+def configuration_lp(counts: np.ndarray, window: int = WINDOW, way: tuple[int, int, float, float] = WAYS[0]) -> tuple[dict[tuple[int, ...], float], float]:
+    """(configurations, lengths longest first, and how often each is used; a lower bound on their number).
+
+    No length is covered beyond its count. A round covers its part of every length, as far as configurations
+    near the best of the round's prices do; it prices again without the lengths that have no room left in it. A
+    length's weight grows with every round that it lags behind.
     """
-    n = counts.astype(float)
+    (rounds, prices, rate, near), n = way, counts.astype(float)
+    near /= window
     there = np.flatnonzero(n > 0)
     used: dict[tuple[int, ...], float] = {}
-    covered = np.zeros(len(n))
-    for t in range(rounds):
-        weights = np.full(len(n), -1.0)
-        share = covered[there] / n[there]
-        weights[there] = there / window * np.exp(-RATE * (share - (share.min() if len(there) else 0)))
-        best, _ = price(weights, window)
+    covered, bound = np.zeros(len(n)), 0.0
+    for t in range(rounds if len(there) else 0):
         room = n * (t + 1) / rounds - covered
-        for length in there[::-1]:
-            while room[length] > 1e-9:
-                kinds, times = np.unique(np.array(_column(int(length), weights, best, room, window), np.int64), return_counts=True)
-                step = float((room[kinds] / times).min()) if len(kinds) else 0.0
-                if step <= 1e-9:
-                    break
-                a = tuple(np.repeat(kinds, times)[::-1].tolist())
-                used[a] = used.get(a, 0.0) + step
-                room[kinds] -= step * times
+        lag = rounds * room / np.maximum(n, 1) - 1
+        worth = np.arange(window + 1) / window * np.exp(rate * lag)
+        top = 0.0
+        for _ in range(prices):
+            live = there[room[there] > 1e-9]
+            weights = np.full(window + 1, -1.0)
+            weights[live] = worth[live]
+            best, _ = price(weights, window)
+            if not top:
+                top, bound = best[window], max(bound, float((n[there] * worth[there]).sum() / best[window]))
+            if best[window] < (1 - near) * top or not _advance(room, weights, best, used, window, near):
+                break
         covered = n * (t + 1) / rounds - room
-    return used
+    return used, bound
+
+
+def rounded(solution: dict[tuple[int, ...], float], counts: np.ndarray) -> tuple[dict[tuple[int, ...], int], np.ndarray]:
+    """(whole numbers of configurations, the remainder): rounded down, then up by falling fraction while they fit."""
+    left, out = counts.astype(np.int64).copy(), {}
+    for up in (False, True):
+        for a, x in sorted(solution.items(), key=lambda ax: (-(ax[1] % 1), ax[0])):
+            kinds, times = np.unique(a, return_counts=True)
+            y = int(x % 1 >= 0.5 and (left[kinds] >= times).all()) if up else int(x + 1e-6)
+            if y:
+                left[kinds] -= y * times
+                out[a] = out.get(a, 0) + y
+    return out, left
 
 
 def best_fit(counts: np.ndarray, window: int = WINDOW) -> list[tuple[tuple[int, ...], int]]:
@@ -123,16 +159,16 @@ def best_fit(counts: np.ndarray, window: int = WINDOW) -> list[tuple[tuple[int,
 
 def plan(counts: np.ndarray, window: int = WINDOW) -> list[tuple[tuple[int, ...], int]]:
     """(configuration, number of sequences): together they hold exactly the histogram."""
-    left = counts.astype(np.int64).copy()
-    out = [((window,), int(left[window]))] if left[window] else []
-    left[window] = 0
-    for a, x in sorted(configuration_lp(left, window).items(), key=lambda ax: (-ax[1], ax[0])):
-        kinds, times = np.unique(a, return_counts=True)
-        y = min(int(x), int((left[kinds] // times).min()))
-        if y > 0:
-            left[kinds] -= y * times
-            out.append((a, y))
-    return out + best_fit(left, window)
+    found, least = None, 0.0
+    for way in WAYS:
+        solution, bound = configuration_lp(counts, window, way)
+        out, left = rounded(solution, counts)
+        made = list(out.items()) + best_fit(left, window)
+        size, least = sum(y for _, y in made), max(least, bound)
+        found = min(found or (size, made), (size, made), key=lambda f: f[0])
+        if found[0] <= least * (1 + GAP) + 1:
+            break
+    return found[1]
 
 
 def intervals(configurations: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]:
@@ -162,15 +198,17 @@ def _pieces(path: str, window: int):
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches):
-        coder = worker_pieces(path, False)
+        coder, task, rank, full = worker_pieces(path, False), TaskContext.get().partitionId(), [0] * (window + 1), 0
         for b in batches:
             rows = []
-            for doc, rid, text in zip(*(c.to_pylist() for c in b.columns)):
+            for doc, text in zip(*(c.to_pylist() for c in b.columns)):
                 ids = coder.ids(text) + end
-                rows += [(doc, rid, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut_pieces(len(ids) // 4, window))]
-            cols = list(zip(*rows)) if rows else [()] * 6
-            types = (b.schema.field(0).type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "rid", "piece", "start", "length", "ids_crc32"])
+                for k, (s, n) in enumerate(cut_pieces(len(ids) // 4, window)):
+                    rows.append((doc, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)]), task, rank[n]))
+                    rank[n] += 1
+            cols = list(zip(*rows)) if rows else [()] * 7
+            types = (b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
 
     return run
 
@@ -189,25 +227,28 @@ def _placing(packed, keep: int):
 
 
 def pack(docs: DataFrame, scratch: Scratch, path: str, window: int = WINDOW, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id (negative: a full piece), offset."""
     spark = scratch.spark
-    rows = docs.select(F.col(key).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), text_or_empty(text).alias("text"))
+    rows = docs.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    cols = f"doc_id {kind}, rid long, piece int, start long, length long, ids_crc32 long"
-    parts = scratch.cut(rows.mapInArrow(_pieces(path, window), cols).withColumn("part", F.pmod(F.xxhash64("rid", "piece"), F.lit(PARTS)).cast("int")), "pieces")
-
-    cells = parts.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")).collect()  # window x PARTS rows at most
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    cols = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
+    parts = scratch.cut(rows.mapInArrow(_pieces(path, window), f"{cols}, task long, rank long"), "pieces")
+    alone = parts.filter(F.col("length") == window)
+    number = -1 - (F.shiftleft("task", 40) + F.col("rank"))
+    full = alone.select(*columns, number.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+
+    shorter = parts.filter(F.col("length") < window)
+    cells = shorter.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = scratch.cut(cells.select("length", "task", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "firsts")
     counts = np.zeros(window + 1, np.int64)
-    first = []
-    for r in sorted(cells, key=lambda r: (r.length, r.part)):
-        first.append((r.length, r.part, int(counts[r.length])))
-        counts[r.length] += r.n
-    # bounded: an interval per item of a configuration, and configurations are bounded by the window
+    for r in firsts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # fewer rows than the window
+        counts[r.length] = r.n
+    # an interval per item of a configuration; there are as many configurations as prices and lengths can make
     table_ = spark.sparkContext.broadcast(intervals(plan(counts, window)))
-    firsts = spark.createDataFrame(first, "length long, part int, first long")
-    order = Window.partitionBy("length", "part").orderBy("rid", "piece")
-    ranked = parts.withColumn("at", F.row_number().over(order) - 1).join(F.broadcast(firsts), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("at")).cast("long").alias("rank"))
-    return ranked.mapInArrow(_placing(table_, 5), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    ranked = shorter.join(firsts.select("length", "task", "first"), ["length", "task"]).select(*columns, (F.col("first") + F.col("rank")).alias("rank"))
+    return ranked.mapInArrow(_placing(table_, 5), f"{cols}, sequence_id long, offset long").unionByName(full)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
