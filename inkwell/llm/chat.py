@@ -2,17 +2,19 @@
 
 A conversation's turns are laid on a token axis by prefix sums, made in chunks of turns so that one long
 conversation is not one task's work. Windows are spans of turns on that axis: a turn belongs to the
-span of tokens in which it begins, and a turn of more than half a span stands alone. A window opens with
+span of tokens in which it begins, and a turn of more than half a span stands alone. A turn's tokens are those of
+its formatted, escaped text with role and marks, so a window has as many as its turns together. A conversation's
+span shrinks to what its system turn leaves: one and a half spans and the system turn fit the budget. A window opens with
 the system turn, repeats the last turns of the window before within a history budget and what room is
 left, and then has its own turns. Only its own assistant turns are under the loss mask, so every
-assistant text is a target once. A window exceeds the budget only if its system turn and own turns
-do, and says so.
+assistant text is a target once. A window exceeds the budget only if a turn of its own with the system turn
+does, and says so.
 
 Turns are written as ``<|im_start|>role\\ntext<|im_end|>\\n``. In texts, control strings get a backslash after
 their first character (one more than they have); roles are percent-encoded. Both can be read back.
 
-Defined cases: a null text or role is empty; turns are ordered by number, nulls first, repeated numbers
-by the row's place; a conversation of a system turn alone is one window; a null conversation id is one
+Defined cases: a null text or role is empty; turns are ordered by number, nulls before all numbers, repeated
+numbers by the row's place; a conversation of a system turn alone is one window; a null conversation id is one
 conversation; extra columns are left out; an empty table gives no windows.
 """
 
@@ -31,8 +33,8 @@ from inkwell.llm.common import Scratch, n_partitions, table, text_or_empty
 from inkwell.llm.tokens import tokenizer_path, worker_pieces
 
 BUDGET, SPAN, HISTORY = 2048, 1024, 256
-#: Turns of a chunk of prefix sums; tokens that marks of a turn take.
-CHUNK, MARKS = 256, 8
+#: Turns of a chunk of prefix sums.
+CHUNK = 256
 OPEN, MID, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 # Control strings of common templates.
 CONTROL = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|startoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -73,7 +75,8 @@ def _token_counts(path: str, keep: int):
     def run(batches):
         coder = worker_pieces(path, False)
         for b in batches:
-            n = [coder.count(t) + MARKS for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            role, text = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("role", "text"))
+            n = [coder.count(format_turns([(r, t, False)])[0]) for r, t in zip(role, text)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], names=[*b.schema.names, "tokens"])
 
     return run
@@ -113,16 +116,17 @@ def _formatting(budget: int, history: int, kind: pa.DataType):
 def windows(conversations: DataFrame, scratch: Scratch, path: str, budget: int = BUDGET, span: int = SPAN, history: int = HISTORY) -> DataFrame:
     """One row per window: conv_id, window (its place on the token axis), formatted, loss_spans, n_context
     (leading turns that are repeated), n_tokens, over_budget."""
-    rows = conversations.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), text_or_empty("role").alias("role"), text_or_empty().alias("text")).withColumn("rid", F.monotonically_increasing_id())
+    rows = conversations.select("conv_id", F.col("turn").isNotNull().alias("numbered"), F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"), text_or_empty("role").alias("role"), text_or_empty().alias("text")).withColumn("rid", F.monotonically_increasing_id())
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", tokens long"
     turns = scratch.cut(rows.mapInArrow(_token_counts(path, 0), schema), "turns")
 
-    heads = turns.groupBy("conv_id").agg(F.min(F.struct("turn", "rid", "role")).alias("h"), F.count(F.lit(1)).alias("n"))
-    heads = heads.filter((F.col("h.role") == "system") & (F.col("n") > 1)).select(F.col("conv_id").alias("sid"), F.col("h.rid").alias("srid"))
-    marked = turns.join(heads, turns["conv_id"].eqNullSafe(heads["sid"]) & (F.col("rid") == F.col("srid")), "left").withColumn("is_system", F.col("srid").isNotNull()).drop("sid", "srid")
+    heads = turns.groupBy("conv_id").agg(F.min(F.struct("numbered", "turn", "rid", "role", "tokens")).alias("h"), F.count(F.lit(1)).alias("n"))
+    heads = heads.filter((F.col("h.role") == "system") & (F.col("n") > 1)).select(F.col("conv_id").alias("sid"), F.col("h.rid").alias("srid"), F.col("h.tokens").alias("taken"))
+    room = F.floor(2 * (budget - F.coalesce("taken", F.lit(0))) / 3)
+    marked = turns.join(heads, turns["conv_id"].eqNullSafe(heads["sid"]), "left").withColumns({"is_system": F.coalesce(F.col("rid") == F.col("srid"), F.lit(False)), "span": F.greatest(F.lit(1), F.least(F.lit(span), room))}).drop("sid", "srid", "taken")
     width = F.when(F.col("is_system"), 0).otherwise(F.col("tokens"))
-    big = (~F.col("is_system") & (F.col("tokens") > span // 2)).cast("long")
-    axis = marked.withColumns({"chunk": F.floor(F.col("turn") / CHUNK), "width": width, "big": big})
+    big = (~F.col("is_system") & (2 * F.col("tokens") > F.col("span"))).cast("long")
+    axis = marked.withColumns({"chunk": F.struct("numbered", F.floor(F.col("turn") / CHUNK).alias("k")), "width": width, "big": big})
 
     # two-level prefix sums: within chunks, and over the chunks of a conversation
     sums = axis.groupBy("conv_id", "chunk").agg(F.sum("width").alias("w"), F.sum("big").alias("b"))
@@ -131,8 +135,8 @@ def windows(conversations: DataFrame, scratch: Scratch, path: str, budget: int =
     inside = Window.partitionBy("conv_id", "chunk").orderBy("turn", "rid")
     laid = axis.withColumns({"w1": F.sum("width").over(inside) - F.col("width"), "b1": F.sum("big").over(inside) - F.col("big")})
     laid = laid.join(bases, laid["conv_id"].eqNullSafe(bases["cid"]) & (F.col("chunk") == F.col("ck")))
-    laid = laid.select("conv_id", "rid", "role", "text", "tokens", "is_system", (F.col("w0") + F.col("w1")).alias("before"), (2 * (F.col("b0") + F.col("b1")) + F.col("big")).alias("group"))
-    laid = scratch.cut(laid.withColumn("stretch", F.floor(F.col("before") / span)), "laid")
+    laid = laid.select("conv_id", "rid", "role", "text", "tokens", "span", "is_system", (F.col("w0") + F.col("w1")).alias("before"), (2 * (F.col("b0") + F.col("b1")) + F.col("big")).alias("group"))
+    laid = scratch.cut(laid.withColumn("stretch", F.floor(F.col("before") / F.col("span"))), "laid")
 
     # a window is bounded by span + half a span, or is one turn
     mine = Window.partitionBy("conv_id", "stretch", "group")
