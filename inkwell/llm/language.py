@@ -6,7 +6,7 @@ arrays of n-gram codes, one per order, with a log-probability per language besid
 that some language has seen carries the interpolated probability under all of them; for one that none
 has seen, the next lower order applies, with each language's back-off weight of the context. A text's
 language is the one of lowest cross-entropy per character; a text is rejected if that exceeds the
-language's limit, set from its own training texts.
+language's limit, set from labelled texts that the models haven't learned from.
 
 Training rows are chosen by hash, ``max_docs`` per language about (a documented bound); every row is scored,
 over its whole text.
@@ -18,7 +18,6 @@ rows every text is ``und``; a null language is never learned from; repeated rows
 from __future__ import annotations
 
 import pickle
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +29,21 @@ from inkwell.llm.common import Scratch, table
 ORDER, ALPHABET = 4, 61
 #: Training documents per language, about; characters of one that are learned from come from its whole text.
 MAX_DOCS = 1500
-#: A text is rejected if its cross-entropy exceeds this quantile of its language's training texts by this factor.
+#: A text is rejected if its cross-entropy exceeds this quantile of its language's texts set apart by this factor.
 QUANTILE, SLACK = 0.999, 1.3
 #: Characters scored at once.
 CHUNK_CHARS = 1 << 20
+#: Entries of n-gram counts that a worker gathers before it merges them.
+MERGE = 1 << 20
+#: Of the training rows one in so many sets limits and isn't learned from, where a language has FEW of them at least.
+APART, FEW = 5, 20
 BITS = 6
 _SPACE, _SIGN, _RARE = 0, 1, 2
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Numbers of other kinds (fractions, circled or Roman ones) are no letters."""
+    return any(map(str.isalpha, text or ""))
 
 
 def _lower_map() -> np.ndarray:
@@ -179,7 +186,7 @@ class Models:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language or und, score in 0..1, accepted)."""
-        ok = np.array([bool(t) and _LETTER.search(t) is not None for t in texts], bool) & bool(self.langs)
+        ok = np.array([has_letter(t) for t in texts], bool) & bool(self.langs)
         lang, score, accepted = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         at = np.flatnonzero(ok)
         if len(at):
@@ -204,26 +211,24 @@ def _char_counts(batches):
 
 def _gram_counts(alphabet: np.ndarray, order: int):
     def run(batches):
-        held: dict[str, np.ndarray] = {}
+        held: dict[str, list] = {}  # per language: the counts so far and those of texts since, few million entries
         for b in batches:
             for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                c = codes(alphabet[lowered(t)], order)
-                if lang not in held:
-                    held[lang] = np.zeros(1 << (BITS * order), np.int32) if len(held) < 8 else None
-                if held[lang] is None:  # many languages: no dense array for each
-                    u, n = np.unique(c, return_counts=True)
-                    yield _gram_batch(lang, u, n)
-                else:
-                    u, n = np.unique(c, return_counts=True)
-                    held[lang][u] += n.astype(np.int32)
-        for lang, dense in held.items():
-            if dense is not None:
-                u = np.flatnonzero(dense)
-                yield _gram_batch(lang, u, dense[u])
+                parts = held.setdefault(lang, [])
+                parts.append(np.unique(codes(alphabet[lowered(t)], order), return_counts=True))
+                if len(parts) > 1 and sum(len(u) for u, _ in parts[1:]) > MERGE:
+                    held[lang] = [_merged(parts)]
+        for lang, parts in held.items():
+            yield _gram_batch(lang, *_merged(parts))
 
     return run
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    u, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return u, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
+
+
 def _gram_batch(lang: str, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
 
@@ -237,10 +242,13 @@ def training_rows(docs: DataFrame, usable: Column, max_docs: int = MAX_DOCS, lan
 
 def train(rows: DataFrame, scratch: Scratch) -> Models:
     """``rows``: (text, lang), bounded. The driver gets n-gram counts, which the alphabet bounds per language."""
-    rows = scratch.cut(rows.select("text", "lang"), "training")
-    chars = {r.c: r.n for r in rows.select("text").mapInArrow(_char_counts, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()}
+    rows = scratch.cut(rows.select("text", "lang", (F.pmod(F.xxhash64("text"), F.lit(APART)) == 0).alias("apart")), "training")
+    learned = rows.filter(~F.col("apart")).select("text", "lang")
+    if learned.isEmpty():
+        learned = rows.select("text", "lang")
+    chars = {r.c: r.n for r in learned.select("text").mapInArrow(_char_counts, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()}
     alphabet = make_alphabet(chars)
-    got = rows.mapInArrow(_gram_counts(alphabet, ORDER), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    got = learned.mapInArrow(_gram_counts(alphabet, ORDER), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     lang, code, n = (got.column(k).to_numpy() for k in ("lang", "code", "n"))
     langs = sorted(set(lang.tolist()))
     counts = []
@@ -256,12 +264,14 @@ def train(rows: DataFrame, scratch: Scratch) -> Models:
             m = pickle.loads(packed.value)
             index = {x: k for k, x in enumerate(m.langs)}
             for b in batches:
-                texts, names = b.column(0).to_pylist(), b.column(1).to_pylist()
-                keep = [k for k, t in enumerate(texts) if _LETTER.search(t)]
+                texts, names, apart = (b.column(k).to_pylist() for k in range(3))
+                keep = [k for k, t in enumerate(texts) if has_letter(t) and names[k] in index]
                 h = m.cross_entropies([texts[k] for k in keep]) if keep else np.zeros((0, len(m.langs)))
-                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in keep], pa.string()), pa.array([float(h[j, index[names[k]]]) for j, k in enumerate(keep)], pa.float64())], names=["lang", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in keep], pa.string()), pa.array([apart[k] for k in keep], pa.bool_()), pa.array([float(h[j, index[names[k]]]) for j, k in enumerate(keep)], pa.float64())], names=["lang", "apart", "h"])
 
-        limits = {r.lang: r.q for r in rows.mapInArrow(own, "lang string, h double").groupBy("lang").agg(F.percentile_approx("h", QUANTILE, 10000).alias("q")).collect()}
+        scored = rows.mapInArrow(own, "lang string, apart boolean, h double").groupBy("lang", "apart").agg(F.percentile_approx("h", QUANTILE, 10000).alias("q"), F.count(F.lit(1)).alias("n"))
+        # a language with few texts set apart takes its other ones
+        limits = {r.lang: r.q for r in sorted(scored.collect(), key=lambda r: r.apart and r.n >= FEW)}
         models.limits = np.array([limits.get(x, np.inf) * SLACK for x in langs])
     return models
 
