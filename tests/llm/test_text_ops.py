@@ -70,7 +70,41 @@ def test_plan_holds_the_histogram():
         least = -(-int((h * np.arange(257)).sum()) // 256)
         assert sum(y for _, y in plan) <= least * 1.01 + 1
         if n == 20000:
-            assert sum(packing.configuration_lp(h, 256).values()) > 0
+            used, bound = packing.configuration_lp(h, 256)
+            assert bound <= sum(y for _, y in plan) and sum(packing.rounded(used, h)[0].values()) > 0.8 * bound
+
+
+def test_program_beats_best_fit():
+    rng, ours, plain = np.random.default_rng(1), 0, 0
+    for _ in range(6):
+        h = np.zeros(101, int)
+        for x in rng.choice(np.arange(20, 60), 12, replace=False):
+            h[x] = rng.integers(5, 60)
+        ours += sum(y for _, y in packing.plan(h, 100))
+        plain += sum(y for _, y in packing.best_fit(h, 100))
+    assert ours < plain
+
+
+def test_packing_reaches_the_least_number():
+    """Small cases against an exhaustive search."""
+
+    def least(items, free):
+        if not items:
+            return 0
+        x, rest, tried, out = items[0], items[1:], set(), len(items)
+        for k, f in enumerate(free):
+            if f >= x and f not in tried:
+                tried.add(f)
+                out = min(out, least(rest, free[:k] + (f - x,) + free[k + 1 :]))
+        return min(out, 1 + least(rest, (*free, 20 - x)))
+
+    rng, over = np.random.default_rng(2), 0
+    for _ in range(40):
+        items = sorted(rng.integers(3, 16, 7).tolist(), reverse=True)
+        n, best = sum(y for _, y in packing.plan(np.bincount(items, minlength=21), 20)), least(items, ())
+        assert best <= n <= best + 1
+        over += n > best
+    assert over <= 4
 
 
 def test_pack(spark):
@@ -105,23 +139,28 @@ def test_template_round_trip(text, role):
 
 
 def test_chat(spark):
-    talk = [(1, 0, "system", "be kind"), (1, 1, "user", "hi " * 30), (1, 2, "assistant", None), (1, 3, "user", "<s>"), (2, 0, "system", "alone"), (3, None, "assistant", "first"), (3, 5, "user", "x"), (3, 5, None, "y"), (-7, 0, "user", chat.PLANTED), (-7, 1, "assistant", chat.PLANTED)]
+    talk = [(1, 0, "system", "be kind"), (1, 1, "user", "hi " * 30), (1, 2, "assistant", None), (1, 3, "user", "<s>"), (2, 0, "system", "alone"), (3, -5, "user", "second"), (3, None, "assistant", "first"), (3, 5, "user", "x"), (3, -1, None, "y"), (-7, 0, "user", chat.PLANTED), (-7, 1, "assistant", chat.PLANTED)]
     talk += [(4, k, ["user", "assistant"][k % 2], f"word{k} " * (700 if k in (5, 20) else 12)) for k in range(1, 700)] + [(4, 0, "system", "rules")]
+    talk += [(5, 0, "system", "stay calm " * 120)] + [(5, k, "a role of many words " * 3, "<s>[INST] " * 4) for k in range(1, 40)]
     df = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").withColumn("window", F.lit("clash"))
     made = Scratch(spark, "t").cut(chat.windows(df, Scratch(spark, "t"), BYTE, 400, 200, 60), "w")
     by = defaultdict(list)
     for k, r in enumerate(talk):
-        by[r[0]].append((-1 if r[1] is None else r[1], k, r[2] or "", r[3] or ""))
+        by[r[0]].append((r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
     got = {r.conv_id: r for r in chat.read_back(made).collect()}
     assert set(got) == set(by)
     for c, turns in by.items():
         turns.sort()
         said = "".join(f"{t[2]}\n{t[3]}\n" for t in turns)
-        if c != 3:
-            assert got[c].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert got[c].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
         loss = "".join(t[3] for t in turns if t[2] == "assistant")
         assert (got[c].n_turns, got[c].loss_chars, got[c].loss_sha256) == (len(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     ws = sorted((w for w in made.collect() if w.conv_id == 4), key=lambda w: w.window)
+    coder = Tokenizer.from_file(BYTE)
+    coder.encode_special_tokens = True
+    for w in made.collect():
+        assert w.n_tokens == len(coder.encode(w.formatted, add_special_tokens=False).ids) and (w.n_tokens <= 400 or w.over_budget)
+        assert not (w.conv_id == 5 and w.over_budget)
     assert len(ws) > 5 and all(w.n_tokens <= 400 or w.over_budget for w in ws) and sum(w.over_budget for w in ws) == 2
     assert all(chat.parse_turns(w.formatted)[0] == ("system", "rules") for w in ws) and any(w.n_context > 1 for w in ws)
     assert chat.windows(df.limit(0), Scratch(spark, "t"), BYTE).count() == 0
@@ -146,9 +185,9 @@ def test_language(spark):
     held = [r for r in got if r.held]
     assert len(got) == sf.count() and sum(r.lang == r.lang_pred for r in held) >= 0.95 * len(held)
     assert sum(not r.accepted for r in got) <= 0.01 * len(got) and all(0 <= r.score <= 1 for r in got)
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !!"), (4, "那那那 那那"), (5, "a"), (6, ("the and of " * 30000))], "doc_id long, text string")
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !!"), (4, "那那那 那那"), (5, "a"), (6, ("the and of " * 30000)), (7, "½ ²"), (8, "① Ⅷ")], "doc_id long, text string")
     out = {r.doc_id: r for r in language.identify(odd, models, "doc_id").collect()}
-    assert [out[k].lang_pred for k in (1, 2, 3)] == ["und"] * 3 and not out[4].accepted and out[6].lang_pred == "en"
+    assert [out[k].lang_pred for k in (1, 2, 3, 7, 8)] == ["und"] * 5 and not out[4].accepted and out[6].lang_pred == "en"
     none = language.train(language.training_rows(empty(spark), F.lit(True)), Scratch(spark, "t"))
     assert {r.lang_pred for r in language.identify(odd, none, "doc_id").collect()} == {"und"}
     assert language.identify(empty(spark), models, "doc_id").count() == 0
