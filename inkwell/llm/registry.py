@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from inkwell.llm import chat, exact_dedup, jaccard_join, language, line_dedup, line_frequency, mixing, packing, sharding, token_count
+from inkwell.llm import chat, exact_dedup, jaccard_join, language, line_dedup, line_frequency, mixing, packing, pipeline, sharding, token_count
 
 
 def queries() -> dict:
@@ -18,10 +17,10 @@ def queries() -> dict:
         "op8_ngram_jaccard_join": jaccard_join.op8_ngram_jaccard_join,
         "op9_language_id": language.op9_language_id,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op10_exact_dedup": exact_dedup.ORACLE, "pipeline": corpus_pipeline.ORACLE_SQL}
+    found = {"op10_exact_dedup": exact_dedup.ORACLE, "pipeline": pipeline.ORACLE_SQL}
     return {k: v for k, v in found.items() if v}
