@@ -166,9 +166,12 @@ def prefix_pairs(opened: DataFrame, scratch: Scratch) -> DataFrame:
     seen = scratch.cut(each.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("seen")), "rarity")
     order = Window.partitionBy("lid").orderBy("seen", "s")
     placed = each.withColumn("slot", slot).join(F.broadcast(seen), "slot").withColumn("p", F.row_number().over(order))
-    posts = scratch.cut(placed.filter(100 * (F.col("p") - 1) <= (100 - PERCENT) * F.col("n")).select("s", "lid", "comp", "n", "p"), "posts")
-    shares = posts.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("c", "comp")).alias("top"))
-    mixed = scratch.cut(shares.filter("lo <> hi").select("s", F.col("top.comp").alias("top")), "mixed")
+    posts = scratch.cut(placed.filter(100 * (F.col("p") - 1) <= (100 - PERCENT) * F.col("n")).select("s", "seen", "lid", "comp", "n", "p"), "posts")
+    each = posts.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("lid")).alias("who"), F.min("seen").alias("seen"))
+    shares = each.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("c"), F.bit_xor("who").alias("who"), F.min("seen").alias("seen"))
+    # shingles of one edit stand in the prefixes of the same lines: the first in order speaks for all
+    first = shares.filter("lo <> hi").groupBy("c", "who").agg(F.min(F.struct("seen", "s", F.col("top.comp").alias("top"))).alias("f"))
+    mixed = scratch.cut(first.select("f.s", "f.top"), "mixed")
     x = posts.join(mixed, "s").filter("comp <> top")
     y = posts.select("s", *[F.col(c).alias(f"{c}2") for c in ("lid", "comp", "n", "p")])
     near = (
