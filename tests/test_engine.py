@@ -33,12 +33,12 @@ def counts(spark, cases):
 def test_matching(spark):
     assert counts(
         spark,
-        [("Äiti on kiva", "Ä", False), ("GROẞE", "große", True), ("aaaaa", "aa", False), ("🦀🦀🦀", "🦀", False), ("test " * 1000, "test", False), ("a b\nc", "b       c", False),
+        [("Über allem Ruhe", "Ü", False), ("STRAẞE", "straße", True), ("ooooooo", "ooo", False), ("那🌲那🌲", "🌲", False), ("nut," * 450, "nut", False), ("p q\nr", "q    r", False),
          ("İ", "i", True), ("i", "İ", True), ("ς", "σ", True), ("ſ", "s", True), ("K", "k", True), ("a　\x85b", "a b", False), ("a\x1cb", "a b", False), ("x", "  ", False)],
-    ) == [1, 1, 2, 3, 200, 1, 1, 0, 0, 0, 1, 1, 0, 0]
-    text = "Öljy ja Vesi öljy"
-    spans = spark.range(1).select(match_spans(F.lit(text), compile_query("öljy", True))).first()[0]
-    assert [text.encode()[s.start : s.end].decode() for s in spans] == ["Öljy", "öljy"]
+    ) == [1, 1, 2, 2, 200, 1, 1, 0, 0, 0, 1, 1, 0, 0]
+    text = "Ñandú, el ñandú"
+    spans = spark.range(1).select(match_spans(F.lit(text), compile_query("ñandú", True))).first()[0]
+    assert [text.encode()[s.start : s.end].decode() for s in spans] == ["Ñandú", "ñandú"]
 
 
 @pytest.mark.parametrize("ctx", [0, 1, 2, 3, 4, 5, 50])
