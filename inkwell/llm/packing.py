@@ -247,7 +247,8 @@ def pack(docs: DataFrame, scratch: Scratch, path: str, window: int = WINDOW, tex
         counts[r.length] = r.n
     # an interval per item of a configuration; there are as many configurations as prices and lengths can make
     table_ = spark.sparkContext.broadcast(intervals(plan(counts, window)))
-    ranked = shorter.join(firsts.select("length", "task", "first"), ["length", "task"]).select(*columns, (F.col("first") + F.col("rank")).alias("rank"))
+    # a row per length and task grows with the input, but stays small on disk: without the hint Spark would broadcast it
+    ranked = shorter.join(firsts.select("length", "task", "first").hint("merge"), ["length", "task"]).select(*columns, (F.col("first") + F.col("rank")).alias("rank"))
     return ranked.mapInArrow(_placing(table_, 5), f"{cols}, sequence_id long, offset long").unionByName(full)
 
 
