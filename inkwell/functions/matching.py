@@ -88,11 +88,13 @@ def match_spans(text: Column, pattern: str | None, limit: int | None = MAX_MATCH
         return _none("struct<start:bigint,end:bigint>")
     found = all_matches(text, pattern, limit)
     gaps = F.split(F.coalesce(text, F.lit("")), pattern, -1)
-    steps = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(F.octet_length(g).cast("long").alias("g"), F.octet_length(m).cast("long").alias("m")))
+    # what lies beyond the last match is a gap without one; cutting the gaps to size would search the text again
+    steps = F.zip_with(found, gaps, lambda m, g: F.struct(F.octet_length(g).cast("long").alias("g"), F.octet_length(m).cast("long").alias("m")))
     start = F.struct(F.lit(0).cast("long").alias("at"), _none("struct<start:bigint,end:bigint>").alias("out"))
     def step(acc: Column, s: Column) -> Column:
         begin = acc["at"] + s["g"]
-        return F.struct((begin + s["m"]).alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), (begin + s["m"]).alias("end")))).alias("out"))
+        longer = F.struct((begin + s["m"]).alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), (begin + s["m"]).alias("end")))).alias("out"))
+        return F.when(s["m"].isNull(), acc).otherwise(longer)
 
     return F.aggregate(steps, start, step, lambda acc: acc["out"])
 
@@ -119,12 +121,13 @@ def snippets(text: Column, pattern: str | None, context_size: int = CONTEXT_DEFA
     if pattern is None:
         return _none("string")
     text = F.coalesce(text, F.lit(""))
-    raw, size = F.encode(text, "UTF-8"), F.octet_length(text).cast("long")
 
-    def one(span: Column) -> Column:
+    def one(raw: Column, size: Column, span: Column) -> Column:
         a = _to_boundary(raw, F.greatest(span["start"] - context_size, F.lit(0).cast("long")), size, -1)
         z = _to_boundary(raw, F.least(span["end"] + context_size, size), size, 1)
         body = F.decode(F.substring(raw, (a + 1).cast("int"), (z - a).cast("int")), "UTF-8")
         return F.concat(F.when(a > 0, "… ").otherwise(""), F.regexp_replace(body, SPACE_RUN, " "), F.when(z < size, " …").otherwise(""))
 
-    return F.transform(match_spans(text, pattern, limit), one)
+    # bound through a one-element array: the bytes are made once and not for every match
+    whole = F.array(F.struct(F.encode(text, "UTF-8").alias("raw"), F.octet_length(text).cast("long").alias("size"), match_spans(text, pattern, limit).alias("spans")))
+    return F.transform(whole, lambda w: F.transform(w["spans"], lambda span: one(w["raw"], w["size"], span)))[0]

@@ -39,12 +39,27 @@ def usage(cached: DataFrame) -> DataFrame:
 
 
 class TextCache:
-    """Lives in one folder, in one subfolder per generation, so a pass never overwrites what it reads."""
+    """Lives in one folder, in one subfolder per generation, so a pass never overwrites what it reads.
+
+    The newest generation that was written whole is the cache, also for an object made later on the same folder.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self._generation = 0
-        self._filled = False
+        found = self._generations()
+        self._generation, self._filled = max(found, default=0), bool(found)
+
+    def _fs(self):
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path
+        return path, path(self.folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _generations(self) -> list[int]:
+        path, fs = self._fs()
+        if not fs.exists(path(self.folder)):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(path(self.folder))]
+        return [int(n[1:]) for n in names if n[:1] == "g" and n[1:].isdigit() and fs.exists(path(f"{self.folder}/{n}/_SUCCESS"))]
 
     @property
     def _path(self) -> str:
@@ -54,23 +69,41 @@ class TextCache:
         return self.spark.read.schema(CACHE_SCHEMA).parquet(self._path) if self._filled else self.spark.createDataFrame([], CACHE_SCHEMA)
 
     def insert(self, texts: DataFrame) -> None:
-        storable(texts).write.mode("append").parquet(self._path)
-        self._filled = True
-        got = usage(self.table()).first()
-        if got["entries"] > CACHE_LIMIT_ENTRIES or got["bytes"] > CACHE_LIMIT_BYTES:
-            self._shrink()
-
-    def _shrink(self) -> None:
-        """Keeps entries in key-hash order while both low marks hold; entries are few by then (limits above)."""
-        order = Window.orderBy(F.xxhash64("path", "size", "modified"))
-        size = F.octet_length("path") + F.octet_length("text")
-        kept = self.table().withColumn("_n", F.row_number().over(order)).withColumn("_b", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        kept = kept.filter((F.col("_n") < CACHE_LOW_ENTRIES) & (F.col("_b") <= CACHE_LOW_BYTES)).drop("_n", "_b")
-        kept.write.mode("overwrite").parquet(f"{self.folder}/g{self._generation + 1}")
-        self._generation += 1
+        """Appends what fits; beyond a limit the entries are chosen before anything is written."""
+        new = storable(texts)
+        have, more = usage(self.table()).first(), usage(new).first()
+        if have["entries"] + more["entries"] <= CACHE_LIMIT_ENTRIES and have["bytes"] + more["bytes"] <= CACHE_LIMIT_BYTES:
+            new.write.mode("append").parquet(self._path)
+            self._filled = True
+        else:
+            self._next(self._chosen(self.table().union(new)))
+
+    def _chosen(self, entries: DataFrame) -> DataFrame:
+        """Entries in key-hash order while both low marks hold. Every task gives its first keys, without texts, to
+        one that orders as many again, so no task holds more than the low mark of them from each."""
+        key = ["path", "size", "modified"]
+        keys = entries.groupBy(*key).agg(F.max(F.octet_length("path") + F.octet_length("text")).alias("bytes"))
+        first = keys.orderBy(F.xxhash64(*key), *key).limit(CACHE_LOW_ENTRIES - 1)
+        order = Window.orderBy(F.xxhash64(*key), *key).rowsBetween(Window.unboundedPreceding, 0)
+        kept = first.withColumn("_b", F.sum("bytes").over(order)).filter(F.col("_b") <= CACHE_LOW_BYTES)
+        a, b = entries.alias("a"), F.broadcast(kept).alias("b")
+        on = (F.col("a.path") == F.col("b.path")) & (F.col("a.size") == F.col("b.size")) & F.col("a.modified").eqNullSafe(F.col("b.modified"))
+        return a.join(b, on, "left_semi").dropDuplicates(key).select(*CACHE_SCHEMA.names)
+
+    def _next(self, entries: DataFrame) -> None:
+        entries.write.mode("overwrite").parquet(f"{self.folder}/g{self._generation + 1}")
+        self._generation, self._filled = self._generation + 1, True
 
     def clear(self) -> None:
-        self._generation, self._filled = self._generation + 1, False
+        """An empty generation; what still reads the one before can go on."""
+        self._next(self.spark.createDataFrame([], CACHE_SCHEMA))
+
+    def vacuum(self) -> None:
+        """Removes older generations; only when no result that reads them is in use."""
+        path, fs = self._fs()
+        for n in self._generations():
+            if n < self._generation:
+                fs.delete(path(f"{self.folder}/g{n}"), True)
 
     def __len__(self) -> int:
         return usage(self.table()).first()["entries"]

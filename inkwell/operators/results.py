@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions.labels import csv_field, file_name, type_label
-from inkwell.functions.matching import compile_query, snippets
+from inkwell.functions.matching import compile_query, match_count, snippets
 from inkwell.model import CONTEXT_DEFAULT, MAX_MATCHES_PER_FILE, SortOrder
 
 CSV_HEADER = "query,file,file_type,match_number,context"
@@ -23,6 +23,14 @@ def match_rows(texts: DataFrame, query: str, ignore_case: bool = False, context_
     return texts.filter(hit).select(*keep, F.transform(snippets(F.col("text"), pattern, context_size, limit), lambda s: F.struct(s.alias("context"))).alias("matches"))
 
 
+def match_counts(texts: DataFrame, query: str, ignore_case: bool = False, limit: int | None = MAX_MATCHES_PER_FILE) -> DataFrame:
+    """As ``match_rows``, with ``n_matches`` instead of the matches: orders and totals need no snippets."""
+    pattern = compile_query(query, ignore_case)
+    keep = [c for c in texts.columns if c != "text"]
+    hit = F.lit(False) if pattern is None else F.col("text").rlike(pattern)
+    return texts.filter(hit).select(*keep, match_count(F.col("text"), pattern, limit).alias("n_matches"))
+
+
 def as_results(matched: DataFrame) -> DataFrame:
     return matched.select(F.col("path").alias("file"), type_label(F.col("ext")).alias("file_type"), "matches", "modified")
 
@@ -45,8 +53,11 @@ def sort_results(results: DataFrame, order: SortOrder | int = SortOrder.DATE_DES
 
 
 def explode_matches(results: DataFrame) -> DataFrame:
-    """One row per match, numbered from 1 within its file."""
-    return results.select(*[c for c in results.columns if c != "matches"], F.posexplode("matches").alias("_k", "_m")).select("*", (F.col("_k") + 1).alias("match_number"), F.col("_m.context").alias("context")).drop("_k", "_m")
+    """One row per match, numbered from 1 within its file.
+
+    The outer form, as Spark infers a filter on the array from the inner one and then computes every snippet twice.
+    """
+    return results.select(*[c for c in results.columns if c != "matches"], F.posexplode_outer("matches").alias("_k", "_m")).filter("_k IS NOT NULL").select("*", (F.col("_k") + 1).alias("match_number"), F.col("_m.context").alias("context")).drop("_k", "_m")
 
 
 def csv_lines(results: DataFrame, query: str) -> DataFrame:
@@ -74,4 +85,6 @@ def save_csv(results: DataFrame, query: str, path: str, order: SortOrder | int =
 
 
 def summary(results: DataFrame) -> DataFrame:
-    return results.agg(F.count(F.lit(1)).alias("files_with_matches"), F.coalesce(F.sum(F.size("matches")), F.lit(0)).cast("long").alias("total_matches"))
+    """Totals of results, or of counts by ``match_counts``."""
+    n = F.col("n_matches") if "n_matches" in results.columns else F.size("matches")
+    return results.agg(F.count(F.lit(1)).alias("files_with_matches"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("total_matches"))

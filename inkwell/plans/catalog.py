@@ -18,11 +18,11 @@ from inkwell.functions.matching import SPACE_RUN, compile_query, match_count, ma
 from inkwell.model import MIB, DatePreset, SearchOptions, SortOrder
 from inkwell.operators import filters as X
 from inkwell.operators.cache import probe, storable, usage
-from inkwell.operators.results import as_results, csv_lines, match_rows, sort_keys, summary
+from inkwell.operators.results import as_results, csv_lines, match_counts, match_rows, sort_keys, summary
 from inkwell.sources.extract import EXTRACT_SCHEMA, extract_bytes
 from inkwell.sources.plaintext import extract_plain
 
-NOW = dt.datetime(2024, 1, 31)
+NOW = dt.datetime(2024, 1, 9, 12)  # a week before it lies within the events
 ROOT = "/corpus"
 _EXTS = ("txt", "text", "docx", "odt", "fodt", "pdf", "md", "json")
 ALL_EXTS = SearchOptions().extensions
@@ -130,16 +130,16 @@ def _result_sql(pattern: str) -> str:
 _PHRASE, _PHRASE_RE = "die ", compile_query("die ", True)
 
 
-def results(spark: SparkSession, sf_dir: str, context_size: int = 50) -> DataFrame:
-    opts = SearchOptions(directory=ROOT)
-    found = files(spark, sf_dir).filter(X.candidate_filter(opts)).select("path", "ext", "size", "modified", "text")
-    return as_results(match_rows(found, _PHRASE, True, context_size))
+def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file, modified, n_matches of a search."""
+    found = files(spark, sf_dir).filter(X.candidate_filter(SearchOptions(directory=ROOT))).select("path", "modified", "text")
+    return match_counts(found, _PHRASE, True).withColumnRenamed("path", "file")
 
 
 def _sort_query(order: SortOrder, keys: str):
     def run(spark, sf_dir):
-        w = Window.orderBy(*sort_keys(order))
-        return results(spark, sf_dir).select("file", F.size("matches").cast("long").alias("n_matches"), F.row_number().over(w).cast("long").alias("pos"))
+        w = Window.orderBy(*sort_keys(order, matches=F.col("n_matches")))
+        return counted(spark, sf_dir).select("file", "n_matches", F.row_number().over(w).cast("long").alias("pos"))
 
     return run, f"WITH {_result_sql(_PHRASE_RE)} SELECT file, n AS n_matches, row_number() OVER (ORDER BY {keys}, string_split(file, '/')) AS pos FROM r"
 
@@ -251,7 +251,10 @@ def _build() -> dict[str, tuple]:
     q["match_snippets_small_ctx"] = _snippet_query("für", True, 7)
     txt = "ext IN ('txt', 'text')"
     q["filter_type_flags"] = _filter_query(SearchOptions(search_docx=False, search_odt=False, search_pdf=False), f"{txt} AND {_VISIBLE}")
-    q["filter_size"] = _filter_query(SearchOptions(max_file_size_mb=0), "false")
+    q["filter_size"] = (
+        lambda s, d: files(s, d).withColumn("size", F.col("size") * 1024).filter(X.candidate_filter(SearchOptions(max_file_size_mb=2), ROOT)).select("doc_id", "path"),
+        f"WITH {FILES} SELECT doc_id, path FROM files WHERE ext IN {_in(ALL_EXTS)} AND {_VISIBLE} AND size <= 2048",
+    )
     q["filter_date_from"] = _filter_query(SearchOptions(modified_after=_SINCE), f"ext IN {_in(ALL_EXTS)} AND {_VISIBLE} AND modified >= TIMESTAMP '{_SINCE}'")
     q["filter_hidden"] = _filter_query(SearchOptions(search_hidden=True), f"ext IN {_in(ALL_EXTS)} AND path NOT LIKE '%/node_modules/%'")
     q["filter_excluded_dirs"] = _filter_query(SearchOptions(), f"ext IN {_in(ALL_EXTS)} AND {_VISIBLE}")
@@ -299,7 +302,7 @@ def _build() -> dict[str, tuple]:
     q["sort_name"] = _sort_query(SortOrder.NAME, "lower(name) ASC")
     q["sort_matches"] = _sort_query(SortOrder.MATCHES, "n DESC")
     q["summary_totals"] = (
-        lambda s, d: summary(results(s, d)),
+        lambda s, d: summary(counted(s, d)),
         f"WITH {_result_sql(_PHRASE_RE)} SELECT count(*) AS files_with_matches, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_matches FROM r",
     )
     q["summary_stats"] = (

@@ -20,6 +20,8 @@ from inkwell.sources.extract import extract_files
 from inkwell.sources.listing import list_candidates, read_content
 
 _ids = itertools.count(1)
+RESULT_SCHEMA = "file string, file_type string, matches array<struct<context:string>>, modified timestamp"
+ERROR_SCHEMA = "file string, error_code string, error string"
 
 
 def validate(opts: SearchOptions) -> None:
@@ -78,16 +80,19 @@ def extracted(candidates: DataFrame) -> DataFrame:
 
 def run_search(spark: SparkSession, opts: SearchOptions, cache: TextCache | None = None, search: Search | None = None, progress=None) -> Search:
     """Lists, extracts and matches. Errors of single files are rows of ``errors``; a search that is
-    cancelled before it starts gives none and counts nothing."""
+    cancelled before it starts gives none and counts nothing, one that is cancelled while it runs gives what of
+    results and errors was complete by then."""
     validate(opts)
     search = search or Search(spark, opts)
     began = time.monotonic()
-    candidates = list_candidates(spark, opts)
+    candidates = list_candidates(spark, opts).persist()  # one walk for all that follows
     if search.cancelled.is_set():
         candidates = candidates.limit(0)
     spark.addTag(search.tag)
+    total = n_cached = 0
+    results, errors = spark.createDataFrame([], RESULT_SCHEMA), spark.createDataFrame([], ERROR_SCHEMA)
     try:
-        total, n_cached = candidates.count(), 0
+        total = candidates.count()
         if progress:
             progress(0, total)
         hits = None
@@ -98,18 +103,23 @@ def run_search(spark: SparkSession, opts: SearchOptions, cache: TextCache | None
         else:
             texts = extracted(candidates)
         texts = texts.persist()
-        errors = texts.filter(F.col("error_code").isNotNull()).select(F.col("path").alias("file"), "error_code", "error")
+        failed = texts.filter(F.col("error_code").isNotNull()).select(F.col("path").alias("file"), "error_code", "error")
         good = texts.filter(F.col("error_code").isNull()).select("path", "ext", "size", "modified", "text")
         pool = good if hits is None else good.unionByName(hits.select(*good.columns))
-        results = as_results(match_rows(pool, opts.query, opts.ignore_case, opts.context_size)).persist()
-        results.count()
-        errors = errors.persist()
-        errors.count()
+        found = as_results(match_rows(pool, opts.query, opts.ignore_case, opts.context_size)).persist()
+        found.count()
+        results = found
+        failed = failed.persist()
+        failed.count()
+        errors = failed
         if hits is not None:
             cache.insert(good)
         texts.unpersist()
         if progress:
             progress(total, total)
+    except Exception:
+        if not search.cancelled.is_set():
+            raise
     finally:
         spark.removeTag(search.tag)
     search.results, search.errors = results, errors

@@ -30,13 +30,24 @@ def plain_error(content: Column, size: Column) -> Column:
     )
 
 
-def extract_plain(content: Column, size: Column) -> Column:
-    """struct<text, error_code, error>, as every extractor gives."""
-    code = plain_error(content, size)
-    said = (
+def _said(code: Column) -> Column:
+    return (
         F.when(code == "TXT_TOO_LARGE", "plain text file over the size limit")
         .when(code == "TXT_NUL", "NUL byte: not a text file")
         .when(code == "TXT_BINARY", "too many control characters: not a text file")
         .when(code == "IO_READ", "file can't be read")
     )
-    return F.struct(F.when(code.isNull(), decode_plain(content)).alias("text"), code.alias("error_code"), said.alias("error"))
+
+
+def extract_plain(content: Column, size: Column) -> Column:
+    """struct<text, error_code, error>, as every extractor gives.
+
+    Content and code are bound through one-element arrays, so that neither is computed for each of the three fields.
+    """
+
+    def fields(f: Column) -> Column:
+        return F.struct(F.when(f["code"].isNull(), decode_plain(f["c"])).alias("text"), f["code"].alias("error_code"), _said(f["code"]).alias("error"))
+
+    files = F.array(F.struct(content.alias("c"), size.alias("size")))
+    coded = F.transform(files, lambda f: F.struct(f["c"].alias("c"), plain_error(f["c"], f["size"]).alias("code")))
+    return F.transform(coded, fields)[0]

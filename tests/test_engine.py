@@ -11,7 +11,7 @@ from inkwell.functions.matching import compile_query, match_count, match_spans,
 from inkwell.functions.labels import progress_label, resolve_directory, truncate_path
 from inkwell.model import SearchOptions, SortOrder
 from inkwell.operators.cache import CACHE_SCHEMA, TextCache, probe, usage
-from inkwell.operators.results import sort_results
+from inkwell.operators.results import match_counts, match_rows, sort_results, summary
 from inkwell.plans.search import Search, Session, progress_steps, run_search, validate
 from inkwell.sources import markup
 from inkwell.sources.extract import extract_bytes
@@ -147,6 +147,15 @@ def test_search_end_to_end(spark, tmp_path):
     gone = Search(spark, opts)
     gone.cancel()
     assert run_search(spark, opts, search=gone).stats["total_count"] == 0
+    late = Search(spark, opts)
+
+    def stop(done, total):
+        if done == 0:
+            late.cancelled.set()
+            raise RuntimeError("interrupted")
+
+    out = run_search(spark, opts, search=late, progress=stop)  # as a job that is interrupted
+    assert out.stats["total_count"] == 9 and out.results.count() == 0 == out.errors.count() and out.rows().count() == 0
     session = Session(spark)
     one = session.search(opts)
     with pytest.raises(ValueError):
@@ -156,6 +165,18 @@ def test_search_end_to_end(spark, tmp_path):
         validate(SearchOptions(directory="/nope", query="x"))
 
 
+def test_snippets_and_counts_agree(spark):
+    p = compile_query("ab", False)
+    texts = ["", "ab", "xabyab", "ä ab ö" * 300, None, "ab" * 200 + "tail ab"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    for r in df.select("text", match_count(F.col("text"), p).alias("n"), match_spans(F.col("text"), p).alias("s"), match_spans(F.col("text"), p, None).alias("all"), snippets(F.col("text"), p, 3).alias("c")).collect():
+        raw = (r.text or "").encode()
+        assert r.n == len(r.s) == len(r.c) == min(200, raw.count(b"ab")) and len(r["all"]) == raw.count(b"ab")
+        assert all(raw[x.start : x.end] == b"ab" for x in r["all"]) and [x.start for x in r["all"]] == sorted({x.start for x in r["all"]})
+    named = df.withColumnRenamed("k", "path")
+    assert summary(match_counts(named, "ab")).first() == summary(match_rows(named, "ab")).first() == (4, 1 + 2 + 200 + 200)
+
+
 def test_orders(spark):
     t = dt.datetime(2024, 1, 1)
     rows = [("/a-b", t, 1), ("/a/b", t, 2), ("/z", None, 2), ("/B", t + dt.timedelta(1), 1)]
@@ -177,8 +198,19 @@ def test_cache(spark, tmp_path):
     c = TextCache(spark, str(tmp_path))
     c.insert(spark.range(600).selectExpr("'/f' || id AS path", "id AS size", "current_timestamp() AS modified", "'t' AS text"))
     assert 200 <= len(c) <= 500
+    big = TextCache(spark, str(tmp_path / "big"))  # 80 texts of 1 MiB: over the bytes, not the entries
+    big.insert(spark.range(80).selectExpr("'/g' || id AS path", "id AS size", "CAST(NULL AS timestamp) AS modified", "repeat('x', 1048576) AS text"))
+    assert 16 <= len(big) < 32 and big.memory_bytes() <= 32 * 1024 * 1024
+    few = rows[:1]
+    c.insert(spark.createDataFrame(few, CACHE_SCHEMA))
+    kept = len(c)
+    again = TextCache(spark, str(tmp_path))
+    assert len(again) == kept and [r.text for r in again.table().filter("path = '/a'").collect()] == ["x"]
     c.clear()
-    assert len(c) == 0 and c.memory_bytes() == 0
+    assert len(c) == 0 and c.memory_bytes() == 0 and len(TextCache(spark, str(tmp_path))) == 0
+    c.vacuum()
+    c.insert(spark.createDataFrame(few, CACHE_SCHEMA))
+    assert len(TextCache(spark, str(tmp_path))) == 1
     assert usage(cached).first()["bytes"] == 6
 
 
