@@ -19,6 +19,7 @@ from inkwell.model import MIB, DatePreset, SearchOptions, SortOrder
 from inkwell.operators import filters as X
 from inkwell.operators.cache import probe, storable, usage
 from inkwell.operators.results import as_results, csv_lines, match_counts, match_rows, sort_keys, summary
+from inkwell.plans import over_files
 from inkwell.sources.extract import EXTRACT_SCHEMA, extract_bytes
 from inkwell.sources.plaintext import extract_plain
 
@@ -122,9 +123,9 @@ _VISIBLE = "path NOT LIKE '%/.hidden/%' AND path NOT LIKE '%/node_modules/%'"
 _SINCE = DatePreset.WEEK.since(NOW)
 
 
-def _result_sql(pattern: str) -> str:
+def _result_sql(pattern: str, where: str = "true") -> str:
     return f"""{FILES}, r AS (SELECT path AS file, name, modified, ext, CASE WHEN ext IN ('docx') THEN 'DOCX' WHEN ext = 'odt' THEN 'ODT' WHEN ext = 'fodt' THEN 'FODT' WHEN ext = 'pdf' THEN 'PDF' ELSE 'TXT' END AS file_type,
-      {_n(pattern)} AS n FROM files WHERE ext IN {_in(ALL_EXTS)} AND {_VISIBLE} AND regexp_matches(text, {_lit(pattern)}))"""
+      {_n(pattern)} AS n FROM files WHERE ext IN {_in(ALL_EXTS)} AND {_VISIBLE} AND regexp_matches(text, {_lit(pattern)}) AND {where})"""
 
 
 _PHRASE, _PHRASE_RE = "die ", compile_query("die ", True)
@@ -210,6 +211,42 @@ _MAKERS = {
 }
 
 
+def _as_file(ext: str, text: str) -> bytes:
+    """A document as a file; plain text of a length divisible by 7 is damaged."""
+    by_ext = {"docx": "zip_docx", "odt": "zip_odt", "fodt": "xml_roundtrip_odf", "pdf": "pdf_flate"}
+    if ext in by_ext:
+        return _MAKERS[by_ext[ext]][1](text)
+    return (b"\0" if len(text) % 7 == 0 else b"") + text.encode()
+
+
+_DAMAGED = "(ext IN ('txt', 'text') AND length(text) % 7 = 0)"
+
+
+def _file_queries() -> dict[str, tuple]:
+    def tree(spark, sf_dir):
+        return over_files.write_tree(spark, files(spark, sf_dir).filter(F.col("text").isNotNull()), _as_file)
+
+    def found(spark, sf_dir):
+        base = tree(spark, sf_dir)
+        return over_files.found(base, over_files.search_files(spark, base, ROOT, "die"))
+
+    def failed(spark, sf_dir):
+        base = tree(spark, sf_dir)
+        return over_files.failed(base, over_files.search_files(spark, base, ROOT, "die"))
+
+    def again(spark, sf_dir):
+        return over_files.found_again(spark, tree(spark, sf_dir), ROOT, "die", "und")
+
+    def sql(query: str) -> str:
+        return f"WITH {_result_sql(compile_query(query, True), 'NOT ' + _DAMAGED)} SELECT file, file_type, n AS n_matches"
+
+    return {
+        "files_search": (found, f"{sql('die')} FROM r"),
+        "files_errors": (failed, f"WITH {FILES} SELECT path AS file, 'TXT_NUL' AS error_code FROM files WHERE {_VISIBLE} AND {_DAMAGED}"),
+        "files_search_cached": (again, f"{sql('und')}, true AS cache_used FROM r"),
+    }
+
+
 def _extract_query(name: str):
     ext, make = _MAKERS[name]
 
@@ -334,7 +371,7 @@ def _build() -> dict[str, tuple]:
     q["txt_binary_reject"] = _plain_query(lambda t: F.encode(F.concat(F.lit("\x01" * 500), t), "UTF-8"), "CASE WHEN 5000 <= least(4096, 500 + strlen(text)) THEN repeat(' ', 500) || text END", "CASE WHEN 5000 > least(4096, 500 + strlen(text)) THEN 'TXT_BINARY' END")
     for name in _MAKERS:
         q[name] = _extract_query(name)
-    return q
+    return q | _file_queries()
 
 
 _QUERIES = _build()
