@@ -1,19 +1,22 @@
 """Mixing sources to target weights by blocks.
 
 The words of a source stand in one stream, documents in hash order, cut into blocks of a fixed number
-of words. The mix has output shards of a fixed number of slots. Each shard draws its source counts from
-a multinomial distribution over what the sources still have to give; the last takes what is left, so
-the totals are the targets to the block. A source's slots are numbered through all shards; slot number
+of words. The mix has output shards of a fixed number of slots. The shards' source counts are multinomial
+draws given the totals, made by halves: the first half of a range of shards draws its counts without replacement
+from what the range has to give, the second takes what is left, down to single shards. So the totals are the targets to the block,
+and any task finds the counts of its shards, and those of all before them, from the seed. A source's slots are numbered through all shards; slot number
 i takes block perm(i mod n) of its n blocks, perm being a pseudorandom permutation, a new one for
 every pass over the source. Slots join blocks by index.
 
 Defined cases: a null or blank text has size 0 and is never taken; a null source is a source, the last;
 repeated rows are rows of their own; an empty table gives an empty mix. Sources are assumed to number
-thousands at most: their counts per shard are made on the driver.
+thousands at most: the driver holds their sizes and targets, and nothing for a shard.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -67,38 +70,70 @@ def permuted(i: np.ndarray, n: int, seed: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def shard_counts(quota: list[int], shard_slots: int, seed: int = SEED) -> np.ndarray:
-    """shards x sources: multinomial draws over what is left to give; every column sums to its quota."""
-    left = np.array(quota, np.int64)
-    rng, out = np.random.default_rng(seed), []
-    while (n := int(left.sum())) > shard_slots:
-        draw = rng.multinomial(shard_slots, left / n)
-        short = shard_slots - np.minimum(draw, left).sum()
-        draw = np.minimum(draw, left)
-        while short:  # a draw beyond what a source has goes to the others
-            more = np.minimum(rng.multinomial(short, (left - draw) / (left - draw).sum()), left - draw)
-            draw, short = draw + more, short - int(more.sum())
-        out.append(draw)
-        left = left - draw
-    return np.array([*out, left], np.int64)
-
-
-def _slots(batches):
-    """Rows (shard, counts, firsts, blocks) to slots (shard, slot, src, block, pass)."""
-    for b in batches:
-        for row in b.to_pylist():
-            src = np.repeat(np.arange(len(row["counts"])), row["counts"])
-            np.random.default_rng([SEED, row["shard"]]).shuffle(src)
-            block, turn = np.zeros(len(src), np.int64), np.zeros(len(src), np.int64)
-            for s, n in enumerate(row["counts"]):
-                if n:
-                    i, size = row["firsts"][s] + np.arange(n), row["blocks"][s]
-                    here = np.flatnonzero(src == s)
-                    turn[here] = i // size
-                    for e in np.unique(turn[here]):
-                        at = here[turn[here] == e]
-                        block[at] = permuted((i % size)[i // size == e], size, SEED * 1_000_003 + s * 1009 + int(e))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(src), row["shard"], np.int64)), pa.array(np.arange(len(src))), pa.array(src.astype(np.int32)), pa.array(block), pa.array(turn)], names=["shard", "slot", "src", "block", "turn"])
+#: Beyond it numpy has no hypergeometric draws; a normal one, rounded, is as good there.
+LARGE = 10**9
+
+
+def _draw(left: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """``n`` of what is left, without replacement: source by source, each against those after it."""
+    out, rest = np.zeros_like(left), int(left.sum())
+    for s, own in enumerate(left.tolist()):
+        every, rest = rest, rest - own
+        if own < LARGE > rest:
+            got = int(rng.hypergeometric(own, rest, n)) if every else 0
+        else:
+            share = own / every
+            spread = (n * share * (1 - share) * ((every - n) / (every - 1))) ** 0.5
+            got = min(max(round(n * share + spread * float(rng.standard_normal())), n - rest, 0), own, n)
+        out[s] = got
+        n -= got
+    return out
+
+
+def n_shards(quota: list[int], shard_slots: int) -> int:
+    return -(-sum(quota) // shard_slots)
+
+
+def shard_draws(quota: list[int], shard_slots: int, first: int, last: int, seed: int = SEED) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, counts, sums of all counts before it) of the shards from ``first`` to before ``last``."""
+
+    def within(lo: int, hi: int, counts: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if hi <= first or lo >= last:
+            return
+        if hi - lo == 1:
+            yield lo, counts, before
+            return
+        mid = (lo + hi) // 2
+        half = _draw(counts, (mid - lo) * shard_slots, np.random.default_rng([seed, lo, hi]))
+        yield from within(lo, mid, half, before)
+        yield from within(mid, hi, counts - half, before + half)
+
+    every = n_shards(quota, shard_slots)
+    if every:
+        yield from within(0, every, np.array(quota, np.int64), np.zeros(len(quota), np.int64))
+
+
+def _slots(quota: list[int], blocks: list[int], shard_slots: int):
+    """Shard numbers to slots (shard, slot, src, block, pass)."""
+
+    def run(batches):
+        for b in batches:
+            shards = b.column(0).to_numpy()  # numbers of a range follow each other
+            for shard, counts, firsts in shard_draws(quota, shard_slots, int(shards.min()), int(shards.max()) + 1) if len(shards) else ():
+                src = np.repeat(np.arange(len(counts)), counts)
+                np.random.default_rng([SEED, shard]).shuffle(src)
+                block, turn = np.zeros(len(src), np.int64), np.zeros(len(src), np.int64)
+                for s, n in enumerate(counts):
+                    if n:
+                        i, size = firsts[s] + np.arange(n), blocks[s]
+                        here = np.flatnonzero(src == s)
+                        turn[here] = i // size
+                        for e in np.unique(turn[here]):
+                            at = here[turn[here] == e]
+                            block[at] = permuted((i % size)[i // size == e], size, SEED * 1_000_003 + s * 1009 + int(e))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(src), shard, np.int64)), pa.array(np.arange(len(src))), pa.array(src.astype(np.int32)), pa.array(block), pa.array(turn)], names=["shard", "slot", "src", "block", "turn"])
+
+    return run
 
 
 def measure(docs: DataFrame, scratch: Scratch, source: str = "source", max_repeats: float = MAX_REPEATS) -> tuple[DataFrame, list[dict]]:
@@ -128,11 +163,9 @@ def slot_table(spark: SparkSession, sources: list[dict], block_words: int = BLOC
     """Every slot of the mix: shard, slot, src, block, turn."""
     blocks = [-(-s["size"] // block_words) for s in sources]
     quota = [min(round(s["target"] / block_words * (b * block_words / s["size"])), MAX_REPEATS * b) if s["size"] else 0 for s, b in zip(sources, blocks)]
-    counts = shard_counts(quota, shard_slots)
-    firsts = np.cumsum(counts, axis=0) - counts
-    rows = [(k, c.tolist(), f.tolist(), blocks) for k, (c, f) in enumerate(zip(counts, firsts)) if c.sum()]
-    shards = spark.createDataFrame(rows, "shard long, counts array<long>, firsts array<long>, blocks array<long>").repartition(max(1, min(len(rows), 4096)))
-    return shards.mapInArrow(_slots, "shard long, slot long, src int, block long, turn long")
+    every = n_shards(quota, shard_slots)
+    shards = spark.range(0, every, 1, max(1, min(every, 256), every // 256))
+    return shards.mapInArrow(_slots(quota, blocks, shard_slots), "shard long, slot long, src int, block long, turn long")
 
 
 def pieces(placed: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:

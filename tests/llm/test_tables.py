@@ -143,6 +143,37 @@ def test_line_frequency(spark):
     assert joined.startswith(letters(3, 0)) and line_frequency.line_frequency(empty(spark), Scratch(spark, "t")).count() == 0
 
 
+def test_line_verdict_against_brute_force(spark):
+    """Removal and depletion at their limits, with a null host, copies and repeated lines; ASCII lines, so lower case is plain."""
+    rng = np.random.default_rng(4)
+    own = lambda k, n: " ".join(letters(k // 26, k, j) for j in range(n))
+    data = []
+    for k in range(160):
+        host = ["a", "b", None][k % 3]
+        shared = [f"Common  {letters(j)} line" for j in range(6) if rng.random() < 0.06 + 0.1 * j]
+        data.append((k, "\n".join([*shared, *shared[:1], own(k, int(rng.integers(40, 60))), ""]), host))
+    data += [(1000 + k, data[0][1], "a") for k in range(40)] + [(2000, None, "a"), (2001, "", None)]
+    for extra in (20, 21):  # exactly at the limit and one above
+        data += [(3000 + 100 * extra + k, f"edge {letters(extra, extra)}\n" + own(500 + 30 * extra + k, 60), f"edge{extra}") for k in range(extra)]
+    norm = lambda line: " ".join(re.sub("[0-9]+", "0", " ".join(WORDS.findall(line)).lower()).split())
+    seen = defaultdict(set)
+    for _, t, h in data:
+        for line in (t or "").split("\n"):
+            if WORDS.search(line):
+                seen[h, norm(line)].add(t)
+    want = {}
+    for k, t, h in data:
+        lines = [x for x in (t or "").split("\n") if WORDS.search(x)]
+        gone = [x for x in lines if len(seen[h, norm(x)]) > 20]
+        n, rep = brute_counts(t)[0], brute_counts(t)[4]
+        left = n - sum(len(WORDS.findall(x)) for x in gone)
+        want[k] = (left, len({norm(x) for x in gone}), not (n < 50 or 100 * rep > 50 * n) and not (gone and (left < 50 or left < 0.5 * n)))
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(5)
+    got = {r.doc_id: (r.words_left, len(r.removed_lines), r.kept) for r in line_frequency.line_frequency(df, Scratch(spark, "t")).collect()}
+    assert got == want and {want[k][1] for k in range(5000, 5020)} == {0} and {want[k][1] for k in range(5100, 5121)} == {1}
+    assert len({v[2] for k, v in want.items() if v[1]}) == 2  # lines are removed from kept and from rejected documents
+
+
 def test_line_limit_of_a_hot_source(spark):
     own = lambda k, n: " ".join(letters(k, j) for j in range(n))
     passage = " ".join(f"passage{letters(j, j)}" for j in range(60))
@@ -161,8 +192,21 @@ def test_line_limit_of_a_hot_source(spark):
 def test_targets_and_counts():
     assert mixing.targets([100, 100], [1, 3]) == [50, 150]
     assert mixing.targets([10, 1000, 0], [10, 1, 5]) == [30, 980, 0]
-    c = mixing.shard_counts([100, 5000, 0, 9000], 64)
-    assert c.sum(axis=0).tolist() == [100, 5000, 0, 9000] and (c.sum(axis=1)[:-1] == 64).all()
+    quota = [100, 5000, 0, 9000]
+    draws = list(mixing.shard_draws(quota, 64, 0, 10**6))
+    c, before = np.array([d[1] for d in draws]), np.array([d[2] for d in draws])
+    assert [d[0] for d in draws] == list(range(221)) and c.min() >= 0
+    assert c.sum(axis=0).tolist() == quota and (c.sum(axis=1)[:-1] == 64).all() and (before == np.cumsum(c, axis=0) - c).all()
+    some = list(mixing.shard_draws(quota, 64, 37, 90))  # as a task that has only these
+    assert [d[0] for d in some] == list(range(37, 90)) and all((d[1] == c[d[0]]).all() and (d[2] == before[d[0]]).all() for d in some)
+    assert list(mixing.shard_draws([], 64, 0, 5)) == list(mixing.shard_draws([0, 0], 64, 0, 5)) == []
+    spread = c[:-1, 3].var() / (64 * (9000 / 14100) * (5100 / 14100))
+    assert 0.6 < spread < 1.6  # about that of a multinomial draw
+    great = [3 * 10**10, 5, 7 * 10**10, 0]
+    half = mixing._draw(np.array(great), 5 * 10**10, np.random.default_rng(1))
+    assert half.sum() == 5 * 10**10 and (half >= 0).all() and (half <= great).all()
+    assert abs(half[0] - 1.5 * 10**10) < 5 * (5 * 10**10 * 0.3 * 0.7 / 2) ** 0.5
+    assert mixing._draw(np.array(great), sum(great), np.random.default_rng(1)).tolist() == great
     for n in (1, 2, 3, 1000):
         assert sorted(mixing.permuted(np.arange(n), n, 5).tolist()) == list(range(n))
 
