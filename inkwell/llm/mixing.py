@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwell.llm.common import WORD, Scratch, table, text_or_empty
+from inkwell.llm.common import WORD, Scratch, free_name, table, text_or_empty
 
 BLOCK_WORDS, SHARD_SLOTS, SEED = 64, 4096, 17
 #: Parts of a source in which its stream is measured.
@@ -185,19 +185,21 @@ def mix(docs: DataFrame, scratch: Scratch, source: str = "source") -> tuple[Data
     return slots.hint("merge").join(pieces(placed), ["src", "block"]), placed, sources
 
 
-def with_text(mixed: DataFrame, docs: DataFrame) -> DataFrame:
+def with_text(mixed: DataFrame, docs: DataFrame, turn: str = "turn") -> DataFrame:
     """The mix as documents: for every pass over its source a row with what the mix takes of a document.
 
     A document taken whole keeps its text; of others the words taken are joined by spaces. ``docs`` must be what was
-    mixed; rows that repeat both doc_id and text are taken each for itself.
+    mixed; rows that repeat both doc_id and text are taken each for itself. ``docs`` may have columns of any names
+    but ``turn``, which numbers the passes.
     """
-    spans = mixed.groupBy("doc_id", "same", "rid", "turn").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("_spans"), F.sum("words").alias("_taken"), F.max("size").alias("_size"))
-    own = docs.withColumn("_same", F.xxhash64("text")).dropDuplicates(["doc_id", "_same"])
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("same").alias("_h"), "turn", "_spans", "_taken", "_size")
+    same, hashed, own_id, spans, taken, size = (free_name(docs, x) for x in ("same", "hashed", "own_id", "spans", "taken", "size"))
+    took = mixed.groupBy("doc_id", "same", "rid", "turn").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias(spans), F.sum("words").alias(taken), F.max("size").alias(size))
+    own = docs.withColumn(same, F.xxhash64("text")).dropDuplicates(["doc_id", same])
+    took = took.select(F.col("doc_id").alias(own_id), F.col("same").alias(hashed), F.col("turn").alias(turn), spans, taken, size)
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    parts = F.flatten(F.transform("_spans", lambda s: F.slice(words, (s["at"] + 1).cast("int"), s["words"].cast("int"))))
-    out = own.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_same") == F.col("_h")))
-    return out.withColumn("text", F.when(F.col("_taken") >= F.col("_size"), F.col("text")).otherwise(F.array_join(parts, " "))).select(*docs.columns, "turn")
+    parts = F.flatten(F.transform(spans, lambda s: F.slice(words, (s["at"] + 1).cast("int"), s["words"].cast("int"))))
+    out = own.join(took, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(same) == F.col(hashed)))
+    return out.withColumn("text", F.when(F.col(taken) >= F.col(size), F.col("text")).otherwise(F.array_join(parts, " "))).select(*docs.columns, turn)
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

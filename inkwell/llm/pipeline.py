@@ -41,7 +41,7 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources brought to their target weights; a row for every pass in which something of a document is taken."""
     mixed, _, _ = mixing.mix(docs, scratch := Scratch(spark, "p-mix"))
-    return _counted(mixing.with_text(scratch.cut(mixed, "mixed"), docs), docs.columns)
+    return _counted(mixing.with_text(scratch.cut(mixed, "mixed"), docs, free_name(docs, "turn")), docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

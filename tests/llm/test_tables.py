@@ -232,6 +232,10 @@ def test_mixing(spark):
         taken[r.doc_id] += len(got)
         assert set(got) <= set(text[r.doc_id]) and len(got) <= 2 * len(text[r.doc_id])
     assert sum(taken.values()) == sum(took.values())
+    clash = docs(spark).selectExpr("*", "doc_id AS _same", "doc_id AS _hashed", "doc_id AS _SIZE", "doc_id AS turn", "doc_id AS at")
+    odd = mixing.with_text(mixed, clash, "pass").collect()
+    assert Counter((r.doc_id, r.text) for r in odd) == Counter((r.doc_id, r.text) for r in mixing.with_text(mixed, docs(spark)).collect())
+    assert all(r._same == r._hashed == r._SIZE == r.turn == r.doc_id for r in odd)
     again, _, _ = mixing.mix(docs(spark), Scratch(spark, "t"))
     assert again.count() == mixed.count()
     m, p, s = mixing.mix(empty(spark), Scratch(spark, "t"))
