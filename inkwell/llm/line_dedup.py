@@ -14,7 +14,7 @@ Lines are normalised (lower case, no white space at the ends) and known by a 64-
 4. Verified pairs become components by distributed union-find. Lines of bands that now lie in one component, or
    of which all pairs were seen, are done.
 5. The lines of the other bands are joined exactly: rare shingles first, a pair of different components must
-   share a shingle of both prefixes and pass the length and positional filters. What is verified joins
+   share a shingle of both prefixes and pass the length, positional and parity filters. What is verified joins
    components. So pivots save work and lose no link between lines that meet in a band.
 6. Of each component the first occurrence stays, by doc_id and line number.
 
@@ -25,6 +25,9 @@ columns stay whatever their names, but for the count that ``dedup_lines`` adds u
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,11 +38,13 @@ SHINGLE, PERCENT = 8, 80
 MINIMA, ROWS, WAYS = 24, 4, 2
 PIVOTS = 4
 #: Shingles of a row; their least is taken before the aggregation looks up the line.
-FOLD = 4
+FOLD = 8
 #: Bands whose keys are counted at once; bounds the shuffle files.
 BANDS_AT_ONCE = 6
 #: Counters of the table that orders shingles rare first; any order gives the same links.
 RARITY_BITS = 18
+#: 64-bit words of a line's parities, 2 ** 3; any number gives the same links.
+WORDS = 8
 _EACH = MINIMA // ROWS
 _GROUPS = [[r * ROWS + k for k in range(ROWS)] if w == 0 else [(r + w * k) % _EACH * ROWS + k for k in range(ROWS)] for w in range(WAYS) for r in range(_EACH)]
 BANDS = len(_GROUPS)
@@ -59,7 +64,9 @@ _BLANKS = " \t\n\x0b\x0c\r"
 
 
 def normalised(line: Column) -> Column:
-    return F.lower(F.btrim(line, F.lit(_BLANKS)))
+    """Trimming a set of characters walks the whole line, so only lines with one of them at an end are trimmed."""
+    ends = reduce(or_, [line.startswith(c) | line.endswith(c) for c in _BLANKS])
+    return F.lower(F.when(ends, F.btrim(line, F.lit(_BLANKS))).otherwise(line))
 
 
 def document_key() -> Column:
@@ -154,34 +161,53 @@ def _with_pivots(live: DataFrame) -> DataFrame:
     return least.select("band", "n", F.array_distinct(F.array(*[F.col(f"p{k}").bitwiseXOR(w) for k, w in enumerate(ways)])).alias("pivots"))
 
 
+def _parities(each: DataFrame) -> DataFrame:
+    """(lid, w0, w1, ...): for every bit whether an odd number of the line's shingles falls on it."""
+    bit = F.expr("shiftleft(1L, shiftright(s, 3) & 63)")
+    words = [F.bit_xor(F.when(F.col("s").bitwiseAND(F.lit(WORDS - 1)) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)]
+    return each.groupBy("lid").agg(*words)
+
+
+def _least_difference() -> Column:
+    """Shingles that two lines don't share are at least as many as the bits in which their parities differ."""
+    return reduce(lambda a, b: a + b, [F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"w{k}2"))) for k in range(WORDS)])
+
+
 def prefix_pairs(opened: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): all pairs of different components that can reach the similarity. ``opened``: lid, comp, n, set.
 
     A pair of sizes m and n needs an overlap of PERCENT * (m + n) / (100 + PERCENT); sharing a shingle at
     the places p and q, counted from 1 in the rare-first order of both, it can have 1 + min(m - p, n - q) from
-    the first such place on. Lines of a shingle's largest component are met by the others only, never by each other.
+    the first such place on. If d shingles at least aren't shared, the overlap is at most (m + n - d) / 2; this is asked
+    with room for the two equal hashes of different shingles that ``_verified`` allows for. Lines of a shingle's
+    largest component are met by the others only, never by each other.
     """
     each = opened.repartition("lid").select("lid", "comp", "n", F.explode("set").alias("s"))
     slot = F.pmod("s", F.lit(1 << RARITY_BITS))
     seen = scratch.cut(each.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("seen")), "rarity")
     order = Window.partitionBy("lid").orderBy("seen", "s")
     placed = each.withColumn("slot", slot).join(F.broadcast(seen), "slot").withColumn("p", F.row_number().over(order))
-    posts = scratch.cut(placed.filter(100 * (F.col("p") - 1) <= (100 - PERCENT) * F.col("n")).select("s", "seen", "lid", "comp", "n", "p"), "posts")
+    words = [f"w{k}" for k in range(WORDS)]
+    prefix = placed.filter(100 * (F.col("p") - 1) <= (100 - PERCENT) * F.col("n")).join(_parities(each), "lid")
+    posts = scratch.cut(prefix.select("s", "seen", "lid", "comp", "n", "p", *words), "posts")
     each = posts.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("lid")).alias("who"), F.min("seen").alias("seen"))
     shares = each.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("c"), F.bit_xor("who").alias("who"), F.min("seen").alias("seen"))
     # shingles of one edit stand in the prefixes of the same lines: the first in order speaks for all
     first = shares.filter("lo <> hi").groupBy("c", "who").agg(F.min(F.struct("seen", "s", F.col("top.comp").alias("top"))).alias("f"))
     mixed = scratch.cut(first.select("f.s", "f.top"), "mixed")
-    x = posts.join(mixed, "s").filter("comp <> top")
-    y = posts.select("s", *[F.col(c).alias(f"{c}2") for c in ("lid", "comp", "n", "p")])
+    met = scratch.cut(posts.drop("seen").join(mixed, "s"), "met")
+    scratch.drop("posts", "rarity", "mixed")
+    free_shuffles(scratch.spark)
+    x = met.filter("comp <> top")
+    y = met.select("s", *[F.col(c).alias(f"{c}2") for c in ("lid", "comp", "n", "p", *words)])
     near = (
         (F.col("comp") != F.col("comp2"))
         & ((F.col("comp2") == F.col("top")) | (F.col("lid") < F.col("lid2")))
         & (100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2"))
         & ((100 + PERCENT) * (1 + F.least(F.col("n") - F.col("p"), F.col("n2") - F.col("p2"))) >= PERCENT * (F.col("n") + F.col("n2")))
+        & ((100 + PERCENT) * (F.col("n") + F.col("n2") + 4 - _least_difference()) >= 2 * PERCENT * (F.col("n") + F.col("n2")))
     )
-    met = x.join(y, "s").filter(near)
-    return met.select(*_ordered(F.col("lid"), F.col("lid2"))).distinct()
+    return x.join(y, "s").filter(near).select(*_ordered(F.col("lid"), F.col("lid2"))).distinct()
 
 
 def line_links(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -205,10 +231,13 @@ def line_links(docs: DataFrame, scratch: Scratch) -> DataFrame:
     marked = scratch.cut(live.join(partly, "band", "left_semi").join(known, F.col("lid") == F.col("node"), "left").select("band", "lid", comp), "marked")
     split = marked.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band")
     opened = scratch.cut(marked.join(split, "band", "left_semi").select("lid", "comp").distinct().join(sets, "lid"), "opened")
+    scratch.drop("sets", "marked", "bands", "pairs", *[f"{t}-{k}" for t in ("shared", "live") for k in range(0, BANDS, BANDS_AT_ONCE)])
+    free_shuffles(spark)
     if opened.isEmpty():
         return known
     rest = scratch.cut(prefix_pairs(opened, scratch), "rest")
-    late = _verified(rest, sets, texts, scratch, "late")
+    late = _verified(rest, opened.select("lid", "n", "set"), texts, scratch, "late")
+    scratch.drop("opened", "met", "rest", "texts")
     free_shuffles(spark)
     if late.isEmpty():
         return known
