@@ -60,19 +60,27 @@ def free_shuffles(spark: SparkSession) -> None:
 BITMAP_BITS = 25
 
 
-def among(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose ``key`` (long hashes) is in the one column of ``wanted``, which has no repeats.
+def likely(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` (long hashes) is in the one column of ``wanted``, and a few others.
 
-    A bitmap of at most 2 ** BITMAP_BITS bits is broadcast first, so that few of the other rows are shuffled; where
-    the wanted keys fill it, it lets all rows pass to the exact join and nothing else changes.
+    A bitmap of at most 2 ** BITMAP_BITS bits is broadcast; where the wanted keys fill it, it lets all rows pass.
     """
     bit = lambda c: F.pmod(F.col(c), F.lit(1 << BITMAP_BITS))
     (name,) = wanted.columns
     words = wanted.select(bit(name).alias("bit")).groupBy(F.expr("shiftright(bit, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("set"))
     marked = df.withColumn("bit", bit(key)).withColumn("word", F.expr("shiftright(bit, 6)"))
-    some = marked.join(F.broadcast(words), "word").filter("(shiftright(set, cast(bit & 63 as int)) & 1) = 1").select(*df.columns)
+    marked = marked.join(F.broadcast(words.select(F.col("word").alias("_word"), F.col("set").alias("_bits"))), F.col("word") == F.col("_word"))
+    return marked.filter("(shiftright(_bits, cast(bit & 63 as int)) & 1) = 1").select(*df.columns)
+
+
+def among(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` (long hashes) is in the one column of ``wanted``, which has no repeats.
+
+    ``likely`` goes first, so that few of the other rows are shuffled to the exact join.
+    """
+    (name,) = wanted.columns
     # an inner join: the optimizer would push a semi join below the bitmap
-    return some.join(wanted.select(F.col(name).alias(key)), key).select(*df.columns)
+    return likely(df, key, wanted).join(wanted.select(F.col(name).alias(key)), key).select(*df.columns)
 
 
 def free_name(df: DataFrame, stem: str) -> str:

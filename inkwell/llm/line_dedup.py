@@ -5,17 +5,20 @@ Lines are normalised (lower case, no white space at the ends) and known by a 64-
 1. Signatures: every line is cut into character shingles; the least of its shingle hashes under each of
    MINIMA reorderings (exclusive-or with a constant) is its signature, made next to the scan and aggregated
    before the shuffle, so a very common line costs no more than others.
-2. Banding: the minima are put together in WAYS ways, ROWS at a time. A pair of Jaccard similarity 0.8 meets in
-   one of the bands with a probability of 0.991, of 0.85 with 0.998, of 0.5 with 0.49. Band keys of one line
-   only go; a bitmap of fixed size finds the others' lines when signatures are read again.
+2. Banding: the minima are put together in WAYS ways, ROWS at a time, and in one more way among the lines that
+   then share a band. A pair of Jaccard similarity 0.8 meets in one of the WAYS with a probability of 0.991, of 0.85
+   with 0.998, of 0.5 with 0.49; where both lines share bands with any, of 0.996, 0.999 and 0.60. Band keys of one
+   line only go; a bitmap of fixed size finds the others' lines when signatures are read again.
 3. Each line of a band is paired with PIVOTS lines of it, chosen by hash: linear in the band, never all pairs.
-   Pairs are verified by the exact Jaccard similarity of their shingle sets, each once: on sets of 32-bit hashes,
-   and where one or two equal hashes of different shingles could turn the verdict, on the lines themselves.
+   Pairs that their lines' marks (size and parities of the set, a few bytes) rule out go without their sets being
+   moved. The rest is verified by the exact Jaccard similarity of the shingle sets, each pair once: on sets of 32-bit
+   hashes, and where one or two equal hashes of different shingles could turn the verdict, on the lines themselves.
 4. Verified pairs become components by distributed union-find. Lines of bands that now lie in one component, or
    of which all pairs were seen, are done.
-5. The lines of the other bands are joined exactly: rare shingles first, a pair of different components must
-   share a shingle of both prefixes and pass the length, positional and parity filters. What is verified joins
-   components. So pivots save work and lose no link between lines that meet in a band.
+5. In the other bands the lines of different components are compared pair by pair on their marks. Where these pairs
+   are more than DIRECT a line, lines are joined by prefixes instead: rare shingles first, a pair must share a shingle
+   of both prefixes and pass the positional filter, too. Both are exact, and what is verified joins components. So
+   pivots save work and lose no link between lines that meet in a band.
 6. Of each component the first occurrence stays, by doc_id and line number.
 
 Defined cases: blank lines are never compared and stay; a line shorter than a shingle is one shingle; a
@@ -31,23 +34,26 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import Scratch, among, free_name, free_shuffles, table, text_or_empty
+from inkwell.llm.common import Scratch, among, free_name, free_shuffles, likely, table, text_or_empty
 from inkwell.llm.components import components
 
 SHINGLE, PERCENT = 8, 80
 MINIMA, ROWS, WAYS = 24, 4, 2
 PIVOTS = 4
 #: Shingles of a row; their least is taken before the aggregation looks up the line.
-FOLD = 8
+FOLD = 2
+#: Bands of n lines with at most DIRECT * n pairs across components are compared pair by pair; any number loses no link.
+DIRECT = 512
 #: Bands whose keys are counted at once; bounds the shuffle files.
 BANDS_AT_ONCE = 6
 #: Counters of the table that orders shingles rare first; any order gives the same links.
 RARITY_BITS = 18
-#: 64-bit words of a line's parities, 2 ** 3; any number gives the same links.
-WORDS = 8
+#: 64-bit words of a line's parities, 2 ** 4; any number gives the same links.
+WORDS = 16
 _EACH = MINIMA // ROWS
-_GROUPS = [[r * ROWS + k for k in range(ROWS)] if w == 0 else [(r + w * k) % _EACH * ROWS + k for k in range(ROWS)] for w in range(WAYS) for r in range(_EACH)]
-BANDS = len(_GROUPS)
+_GROUPS = [[r * ROWS + k for k in range(ROWS)] if w == 0 else [(r + w * k) % _EACH * ROWS + k for k in range(ROWS)] for w in (*range(WAYS), _EACH - 1) for r in range(_EACH)]
+#: The last way is for lines that share a band of another one.
+BANDS = WAYS * _EACH
 
 
 def _constants(n: int, bits: int) -> list[int]:
@@ -63,10 +69,10 @@ def _constants(n: int, bits: int) -> list[int]:
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
-def normalised(line: Column) -> Column:
+def trimmed(line: Column) -> Column:
     """Trimming a set of characters walks the whole line, so only lines with one of them at an end are trimmed."""
     ends = reduce(or_, [line.startswith(c) | line.endswith(c) for c in _BLANKS])
-    return F.lower(F.when(ends, F.btrim(line, F.lit(_BLANKS))).otherwise(line))
+    return F.when(ends, F.btrim(line, F.lit(_BLANKS))).otherwise(line)
 
 
 def document_key() -> Column:
@@ -76,7 +82,8 @@ def document_key() -> Column:
 def _norms(docs: DataFrame, *keys: Column) -> DataFrame:
     """One row per line that isn't blank: ``keys``, line_no, norm, lid."""
     each = docs.select(*keys, F.posexplode(F.split(text_or_empty(), "\n")).alias("line_no", "line"))
-    return each.select(*each.columns[:-1], normalised(F.col("line")).alias("norm")).filter("norm <> ''").withColumn("lid", F.xxhash64("norm"))
+    line = trimmed(F.col("line"))  # asked before the lower case, which a filter would work out twice
+    return each.filter(line != "").select(*each.columns[:-1], F.lower(line).alias("norm")).withColumn("lid", F.xxhash64("norm"))
 
 
 def _units(norm: str = "norm") -> Column:
@@ -96,9 +103,9 @@ def _shingle_set(norm: str) -> Column:
     return F.transform(F.array(_units(norm)), lambda u: F.array_distinct(F.transform(F.sequence(F.lit(1), _n_shingles(u)), lambda p: F.xxhash64(_cut_at(u, p)))))[0]
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(norms: DataFrame) -> DataFrame:
     """(lid, minima: array<int>) of every distinct line; the shingles of a line never leave its task."""
-    units = _norms(docs).select("lid", _units().alias("units"))
+    units = norms.select("lid", _units().alias("units"))
     last = _n_shingles(F.col("units"))
     places = units.select("lid", "units", F.explode(F.sequence(F.lit(1), last, F.lit(FOLD))).alias("p"))
     each = places.select("lid", *[F.hash(_cut_at(F.col("units"), F.least(F.col("p") + j, last))).alias(f"s{j}") for j in range(FOLD)])
@@ -109,15 +116,15 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 def _cells(signed: DataFrame, first: int, n: int) -> DataFrame:
     """(band, lid): the keys of some bands."""
-    keys = [F.xxhash64(F.lit(b), *[F.col("minima")[k] for k in _GROUPS[b]]) for b in range(first, min(BANDS, first + n))]
+    keys = [F.xxhash64(F.lit(b), *[F.col("minima")[k] for k in _GROUPS[b]]) for b in range(first, first + n)]
     return signed.select("lid", F.explode(F.array(*keys)).alias("band"))
 
 
-def _shared_cells(signed: DataFrame, scratch: Scratch) -> DataFrame:
-    """(band, lid) of the bands that hold more than one line."""
+def _shared_cells(signed: DataFrame, scratch: Scratch, places: range) -> DataFrame:
+    """(band, lid) of the bands that hold more than one line; ``places``: where each turn starts in _GROUPS."""
     out = None
-    for k in range(0, BANDS, BANDS_AT_ONCE):
-        cells = _cells(signed, k, BANDS_AT_ONCE)
+    for k in places:
+        cells = _cells(signed, k, places.step)
         shared = cells.groupBy("band").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).filter("lo <> hi").select("band")
         shared = scratch.cut(shared, f"shared-{k}")
         free_shuffles(scratch.spark)
@@ -132,10 +139,37 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.repartition("lid").select("lid", hashed.alias("set")).select("lid", F.size("set").alias("n"), "set")
 
 
+def _marks(sets: DataFrame) -> DataFrame:
+    """(lid, n, w0_, w1_, ...): the size of each line's set, and for every bit whether an odd number of shingles falls on it."""
+    bit = F.expr("shiftleft(1L, shiftright(s, 4) & 63)")
+    words = [F.bit_xor(F.when(F.col("s").bitwiseAND(F.lit(WORDS - 1)) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}_") for k in range(WORDS)]
+    return sets.select("lid", "n", F.explode("set").alias("s")).groupBy("lid", "n").agg(*words)
+
+
+def _other(df: DataFrame, *same: str) -> DataFrame:
+    """The columns of ``df`` under the names of a pair's second line, but for ``same``."""
+    return df.select(*same, *[F.col(c).alias(f"{c}2") for c in df.columns if c not in same])
+
+
+def _least_difference() -> Column:
+    """Shingles that two lines don't share are at least as many as the bits in which their parities differ."""
+    return reduce(lambda a, b: a + b, [F.bit_count(F.col(f"w{k}_").bitwiseXOR(F.col(f"w{k}_2"))) for k in range(WORDS)])
+
+
+def _hopeful() -> Column:
+    """Whether a pair with its marks can reach the similarity.
+
+    If d shingles at least aren't shared, the overlap is at most (m + n - d) / 2; this is asked with room for the
+    two equal hashes of different shingles that ``_verified`` allows for.
+    """
+    both = F.col("n") + F.col("n2")
+    return (100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2")) & ((100 + PERCENT) * (both + 4 - _least_difference()) >= 2 * PERCENT * both)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) of which the shingle sets are similar enough."""
-    x, y = (sets.select(F.col("lid").alias(k), F.col("n").alias(f"n{k}"), F.col("set").alias(f"set{k}")) for k in "ab")
-    near = pairs.join(y, "b").join(x, "a").filter(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+    own = lambda k: likely(sets, "lid", pairs.select(k).distinct()).select(F.col("lid").alias(k), F.col("n").alias(f"n{k}"), F.col("set").alias(f"set{k}"))
+    near = pairs.join(own("b"), "b").join(own("a"), "a")
     over = (100 + PERCENT) * F.size(F.array_intersect("seta", "setb")) - PERCENT * (F.col("na") + F.col("nb"))
     found = scratch.cut(near.select("a", "b", over.alias("over")), f"{name}-near")  # a filter here would count twice
     tight = found.filter(F.abs("over") <= 2 * (100 + PERCENT)).select("a", "b")
@@ -161,34 +195,27 @@ def _with_pivots(live: DataFrame) -> DataFrame:
     return least.select("band", "n", F.array_distinct(F.array(*[F.col(f"p{k}").bitwiseXOR(w) for k, w in enumerate(ways)])).alias("pivots"))
 
 
-def _parities(each: DataFrame) -> DataFrame:
-    """(lid, w0, w1, ...): for every bit whether an odd number of the line's shingles falls on it."""
-    bit = F.expr("shiftleft(1L, shiftright(s, 3) & 63)")
-    words = [F.bit_xor(F.when(F.col("s").bitwiseAND(F.lit(WORDS - 1)) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)]
-    return each.groupBy("lid").agg(*words)
-
+def direct_pairs(cells: DataFrame, marks: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): the pairs of lines of one band and different components that can reach the similarity. ``cells``: band, lid, comp."""
+    met = scratch.cut(cells.join(marks, "lid"), "cells")
+    across = (F.col("comp") != F.col("comp2")) & (F.col("lid") < F.col("lid2"))
+    return met.join(_other(met, "band"), "band").filter(across & _hopeful()).select(F.col("lid").alias("a"), F.col("lid2").alias("b")).distinct()
 
-def _least_difference() -> Column:
-    """Shingles that two lines don't share are at least as many as the bits in which their parities differ."""
-    return reduce(lambda a, b: a + b, [F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"w{k}2"))) for k in range(WORDS)])
 
-
-def prefix_pairs(opened: DataFrame, scratch: Scratch) -> DataFrame:
+def prefix_pairs(opened: DataFrame, marks: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): all pairs of different components that can reach the similarity. ``opened``: lid, comp, n, set.
 
     A pair of sizes m and n needs an overlap of PERCENT * (m + n) / (100 + PERCENT); sharing a shingle at
     the places p and q, counted from 1 in the rare-first order of both, it can have 1 + min(m - p, n - q) from
-    the first such place on. If d shingles at least aren't shared, the overlap is at most (m + n - d) / 2; this is asked
-    with room for the two equal hashes of different shingles that ``_verified`` allows for. Lines of a shingle's
-    largest component are met by the others only, never by each other.
+    the first such place on. Lines of a shingle's largest component are met by the others only, never by each other.
     """
     each = opened.repartition("lid").select("lid", "comp", "n", F.explode("set").alias("s"))
     slot = F.pmod("s", F.lit(1 << RARITY_BITS))
     seen = scratch.cut(each.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("seen")), "rarity")
     order = Window.partitionBy("lid").orderBy("seen", "s")
     placed = each.withColumn("slot", slot).join(F.broadcast(seen), "slot").withColumn("p", F.row_number().over(order))
-    words = [f"w{k}" for k in range(WORDS)]
-    prefix = placed.filter(100 * (F.col("p") - 1) <= (100 - PERCENT) * F.col("n")).join(_parities(each), "lid")
+    words = [f"w{k}_" for k in range(WORDS)]
+    prefix = placed.filter(100 * (F.col("p") - 1) <= (100 - PERCENT) * F.col("n")).join(marks.drop("n"), "lid")
     posts = scratch.cut(prefix.select("s", "seen", "lid", "comp", "n", "p", *words), "posts")
     each = posts.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("lid")).alias("who"), F.min("seen").alias("seen"))
     shares = each.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("c"), F.bit_xor("who").alias("who"), F.min("seen").alias("seen"))
@@ -199,45 +226,55 @@ def prefix_pairs(opened: DataFrame, scratch: Scratch) -> DataFrame:
     scratch.drop("posts", "rarity", "mixed")
     free_shuffles(scratch.spark)
     x = met.filter("comp <> top")
-    y = met.select("s", *[F.col(c).alias(f"{c}2") for c in ("lid", "comp", "n", "p", *words)])
+    y = _other(met.drop("top"), "s")
     near = (
         (F.col("comp") != F.col("comp2"))
         & ((F.col("comp2") == F.col("top")) | (F.col("lid") < F.col("lid2")))
-        & (100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2"))
         & ((100 + PERCENT) * (1 + F.least(F.col("n") - F.col("p"), F.col("n2") - F.col("p2"))) >= PERCENT * (F.col("n") + F.col("n2")))
-        & ((100 + PERCENT) * (F.col("n") + F.col("n2") + 4 - _least_difference()) >= 2 * PERCENT * (F.col("n") + F.col("n2")))
+        & _hopeful()
     )
     return x.join(y, "s").filter(near).select(*_ordered(F.col("lid"), F.col("lid2"))).distinct()
 
 
-def line_links(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root): the component of every distinct line that is similar to another, but for the roots."""
+def line_links(norms: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root): the component of every distinct line that is similar to another, but for the roots. ``norms``: the table of that name."""
     spark = scratch.spark
-    signed = scratch.cut(signatures(docs), "signed")
+    signed = scratch.cut(signatures(norms), "signed")
     free_shuffles(spark)
-    live = _shared_cells(signed, scratch)
+    live = _shared_cells(signed, scratch, range(0, BANDS, BANDS_AT_ONCE))
+    again = scratch.cut(among(signed, "lid", live.select("lid").distinct()), "again")
     scratch.drop("signed")
-    texts = scratch.cut(among(_norms(docs).select("lid", "norm"), "lid", live.select("lid").distinct()).groupBy("lid").agg(F.max("norm").alias("norm")), "texts")
+    live = live.union(_shared_cells(again, scratch, range(BANDS, len(_GROUPS), _EACH)))
+    texts = scratch.cut(among(norms.select("lid", "norm"), "lid", live.select("lid").distinct()).groupBy("lid").agg(F.max("norm").alias("norm")), "texts")
+    scratch.drop("norms")
     free_shuffles(spark)
     sets = scratch.cut(_sets(texts), "sets")
+    marks = scratch.cut(_marks(sets), "marks")
     bands = scratch.cut(_with_pivots(live), "bands")
     star = live.join(bands.select("band", F.explode("pivots").alias("pivot")), "band").filter("lid <> pivot")
-    pairs = scratch.cut(star.select(*_ordered(F.col("lid"), F.col("pivot"))).distinct(), "pairs")
+    met = star.select(*_ordered(F.col("lid"), F.col("pivot"))).distinct()
+    marked = met.join(marks.withColumnRenamed("lid", "a"), "a").join(_other(marks).withColumnRenamed("lid2", "b"), "b")
+    pairs = scratch.cut(marked.filter(_hopeful()).select("a", "b"), "pairs")
+    free_shuffles(spark)
     known = components(_verified(pairs, sets, texts, scratch, "first"), scratch, "known")
     free_shuffles(spark)
 
     comp = F.coalesce("root", "lid").alias("comp")
     partly = bands.filter(F.size("pivots") < F.col("n") - 1).select("band")
     marked = scratch.cut(live.join(partly, "band", "left_semi").join(known, F.col("lid") == F.col("node"), "left").select("band", "lid", comp), "marked")
-    split = marked.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band")
-    opened = scratch.cut(marked.join(split, "band", "left_semi").select("lid", "comp").distinct().join(sets, "lid"), "opened")
-    scratch.drop("sets", "marked", "bands", "pairs", *[f"{t}-{k}" for t in ("shared", "live") for k in range(0, BANDS, BANDS_AT_ONCE)])
+    counts = marked.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("within"))
+    split = scratch.cut(counts.filter("within < double(n) * n").select("band", (F.col("n").cast("double") * F.col("n") - F.col("within") <= 2 * DIRECT * F.col("n")).alias("direct")), "split")
+    scratch.drop("again", "bands", "pairs", *[f"{t}-{k}" for t in ("shared", "live") for k in range(0, len(_GROUPS))])
+    rest = direct_pairs(marked.join(split.filter("direct").select("band"), "band", "left_semi"), marks, scratch)
+    opened = marked.join(split.filter("not direct").select("band"), "band", "left_semi").select("lid", "comp").distinct()
+    if not opened.isEmpty():
+        opened = scratch.cut(opened.join(sets, "lid"), "opened")
+        rest = rest.union(prefix_pairs(opened, marks, scratch)).distinct()
+    rest = scratch.cut(rest, "rest")
+    scratch.drop("marked", "split", "cells", "opened", "met", "marks")
     free_shuffles(spark)
-    if opened.isEmpty():
-        return known
-    rest = scratch.cut(prefix_pairs(opened, scratch), "rest")
-    late = _verified(rest, opened.select("lid", "n", "set"), texts, scratch, "late")
-    scratch.drop("opened", "met", "rest", "texts")
+    late = _verified(rest, sets, texts, scratch, "late")
+    scratch.drop("sets", "rest", "texts")
     free_shuffles(spark)
     if late.isEmpty():
         return known
@@ -246,9 +283,11 @@ def line_links(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def line_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """One row per line that isn't blank: doc_id, dk, line_no (from 0), keep_doc_id, keep_line_no, kept."""
-    roots = line_links(docs, scratch)
+    norms = scratch.cut(_norms(docs, F.col("doc_id"), document_key().alias("dk")), "norms")
+    own = scratch.cut(norms.select("doc_id", "dk", "line_no", "lid").distinct(), "lines")
+    free_shuffles(scratch.spark)
+    roots = line_links(norms, scratch)
     free_shuffles(scratch.spark)
-    own = scratch.cut(_norms(docs, F.col("doc_id"), document_key().alias("dk")).select("doc_id", "dk", "line_no", "lid").distinct(), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "dk", "line_no")
     once = scratch.cut(own.groupBy("lid").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).join(roots, F.col("lid") == F.col("node"), "left").select("lid", "f", "n", F.coalesce("root", "lid").alias("key")), "once")
     group = once.groupBy("key").agg(F.min("f").alias("f"), F.sum("n").alias("n")).filter("n > 1").select("key", "f")

@@ -141,6 +141,54 @@ def test_line_recall(spark):
     assert gone > 100 and sum(k != v for k, v in got.items()) >= 0.97 * gone
 
 
+def counted_tables(monkeypatch):
+    """The rows of every table that a run writes, by name."""
+    made, cut = {}, Scratch.cut
+
+    def counting(self, df, name):
+        out = cut(self, df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "cut", counting)
+    return made
+
+
+def family(n, edits, length=400, seed=12):
+    """Lines that are each some edits away from one text."""
+    rng, letters = random.Random(seed), "abcdefghijklmnopqrstuvwxyz    "
+    base = [rng.choice(letters) for _ in range(length - 1)] + ["."]
+    lines = []
+    for _ in range(n):
+        line = list(base)
+        for at in rng.sample(range(1, length - 1), rng.choice(edits)):
+            line[at] = "#"
+        lines.append("".join(line))
+    return lines
+
+
+def test_unlike_pairs_move_no_sets(spark, monkeypatch):
+    """Lines that share bands but are far from similar are told apart by their marks, without their shingle sets."""
+    made = counted_tables(monkeypatch)
+    df = spark.createDataFrame(list(enumerate(family(100, [8]))), "doc_id long, text string")
+    assert all(r.kept for r in line_dedup.line_classes(df, Scratch(spark, "t")).collect())
+    assert made["sets"] > 50 and made["first-near"] + made["late-near"] < 20
+
+
+@pytest.mark.parametrize("direct", [0, 512])
+def test_bands_of_many_components(spark, monkeypatch, direct):
+    """The rest of a band, pair by pair and by prefixes, against brute force."""
+    monkeypatch.setattr(line_dedup, "DIRECT", direct, raising=False)
+    monkeypatch.setattr(line_dedup, "PIVOTS", 1)
+    made = counted_tables(monkeypatch)
+    lines = family(150, range(1, 6))
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    want = groups({k: line_set(x) for k, x in enumerate(lines)}, line_dedup.PERCENT)
+    got = {r.doc_id: r.keep_doc_id for r in line_dedup.line_classes(df, Scratch(spark, "t")).collect()}
+    assert got == want and 10 < sum(k != v for k, v in want.items())
+    assert made["late-links"] and (made["cells"] > 0) == (direct > 0) and ("opened" in made) == (direct == 0)
+
+
 def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "some line of text here"), (1, "some line of text here"), (2, "some line of text here\nown line"), (None, "some line of text here")], "doc_id long, text string")
     df = df.withColumns({c: F.lit("mine") for c in ("_key", "_out_of", "dk", "gone", "n_lines_removed", "lid", "norm", "bit", "word", "set")})
