@@ -17,8 +17,6 @@ rows every text is ``und``; a null language is never learned from; repeated rows
 
 from __future__ import annotations
 
-import pickle
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,7 +29,8 @@ ORDER, ALPHABET = 4, 61
 MAX_DOCS = 1500
 #: A text is rejected if its cross-entropy exceeds this quantile of its language's texts set apart by this factor.
 QUANTILE, SLACK = 0.999, 1.3
-#: Characters scored at once.
+#: Rows, and characters, scored at once.
+ROWS = 512
 CHUNK_CHARS = 1 << 20
 #: Entries of n-gram counts that a worker gathers before it merges them.
 MERGE = 1 << 20
@@ -258,12 +257,12 @@ def train(rows: DataFrame, scratch: Scratch) -> Models:
         counts.append((code[at], n[at]))
     models = Models.fit(langs, alphabet, counts) if langs else Models([], alphabet, [None], [None], [None], np.zeros(0))
     if langs:
-        packed = scratch.spark.sparkContext.broadcast(pickle.dumps(models))
+        packed = scratch.spark.sparkContext.broadcast(models)
 
         def own(batches):
-            m = pickle.loads(packed.value)
+            m = packed.value
             index = {x: k for k, x in enumerate(m.langs)}
-            for b in batches:
+            for b in _parts(batches):
                 texts, names, apart = (b.column(k).to_pylist() for k in range(3))
                 keep = [k for k, t in enumerate(texts) if has_letter(t) and names[k] in index]
                 h = m.cross_entropies([texts[k] for k in keep]) if keep else np.zeros((0, len(m.langs)))
@@ -276,10 +275,17 @@ def train(rows: DataFrame, scratch: Scratch) -> Models:
     return models
 
 
+def _parts(batches):
+    """Batches of few rows, as each one's texts become Python strings at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def _predicting(packed, keep: int):
     def run(batches):
-        models = pickle.loads(packed.value)
-        for b in batches:
+        models = packed.value
+        for b in _parts(batches):
             lang, score, accepted = models.predict(b.column(keep).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:keep], pa.array(lang, pa.string()), pa.array(score), pa.array(accepted)], names=[*b.schema.names[:keep], "lang_pred", "score", "accepted"])
 
@@ -288,7 +294,7 @@ def _predicting(packed, keep: int):
 
 def identify(docs: DataFrame, models: Models, *keep: str) -> DataFrame:
     """The columns ``keep``, lang_pred, score, accepted."""
-    packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(models))  # bounded by the alphabet to the power of the order
+    packed = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the alphabet to the power of the order
     rows = docs.select(*keep, "text")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep), "lang_pred string, score double, accepted boolean"])
     return rows.mapInArrow(_predicting(packed, len(keep)), schema)
@@ -296,11 +302,11 @@ def identify(docs: DataFrame, models: Models, *keep: str) -> DataFrame:
 
 def accepted_rows(docs: DataFrame, models: Models) -> DataFrame:
     """The rows whose text has an accepted language, with their own columns."""
-    packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(models))
+    packed = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
-        own = pickle.loads(packed.value)
-        for b in batches:
+        own = packed.value
+        for b in _parts(batches):
             yield b.filter(pa.array(own.predict(b.column(b.schema.get_field_index("text")).to_pylist())[2]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -193,3 +193,11 @@ def test_language(spark):
     assert language.identify(empty(spark), models, "doc_id").count() == 0
     a, b = models.cross_entropies(["the cat " * 200000, "the cat "]), models.cross_entropies(["the cat "])
     assert np.allclose(a[1], b[0]) and abs(a[0, 1] - models.cross_entropies(["the cat " * 1000])[0, 1]) < 0.01
+
+
+def test_language_batches_are_small(spark):
+    """A worker turns few rows at once into Python strings, and keeps the models once, not packed as well."""
+    import pyarrow as pa
+
+    parts = list(language._parts([pa.RecordBatch.from_arrays([pa.array(range(n))], names=["k"]) for n in (0, 1, 5000)]))
+    assert max(p.num_rows for p in parts) <= 512 and [x for p in parts for x in p.column(0).to_pylist()] == [0, *range(5000)]
