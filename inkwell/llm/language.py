@@ -29,9 +29,9 @@ ORDER, ALPHABET = 4, 61
 MAX_DOCS = 1500
 #: A text is rejected if its cross-entropy exceeds this quantile of its language's texts set apart by this factor.
 QUANTILE, SLACK = 0.999, 1.3
-#: Rows, and characters, scored at once.
+#: Rows, and characters, scored at once; a character takes some tens of bytes a language while it is scored.
 ROWS = 512
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 16
 #: Entries of n-gram counts that a worker gathers before it merges them.
 MERGE = 1 << 20
 #: Of the training rows one in so many sets limits and isn't learned from, where a language has FEW of them at least.

@@ -201,3 +201,25 @@ def test_language_batches_are_small(spark):
 
     parts = list(language._parts([pa.RecordBatch.from_arrays([pa.array(range(n))], names=["k"]) for n in (0, 1, 5000)]))
     assert max(p.num_rows for p in parts) <= 512 and [x for p in parts for x in p.column(0).to_pylist()] == [0, *range(5000)]
+
+
+def test_language_scores_in_little_memory():
+    """What a worker takes while it scores depends on no batch's or text's length, and neither do the results."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz "))
+    texts = ["".join(letters[rng.integers(0, 27, n)]) for n in [4000] * 500 + [1_500_000, 5]]
+    alphabet = language.make_alphabet({ord(c): 9 for c in letters if c != " "})
+    own = [np.unique(language.codes(alphabet[language.lowered(texts[k])], language.ORDER), return_counts=True) for k in range(6)]
+    m = language.Models.fit([f"l{k}" for k in range(6)], alphabet, own)
+    m.cross_entropies(texts[:1])
+    tracemalloc.start()
+    got = m.cross_entropies(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    for k in (0, 499, 500, 501):
+        s = alphabet[language.lowered(texts[k])]
+        whole = -m.log_probs(s, language.codes(s, language.ORDER)).astype(float).mean(axis=0)
+        assert np.allclose(got[k], whole)
