@@ -3,8 +3,8 @@
 Lines are normalised (lower case, no white space at the ends) and known by a 64-bit hash, so equal lines are one.
 
 1. Signatures: every line is cut into character shingles; the least of its shingle hashes under each of
-   MINIMA reorderings (exclusive-or with a constant) is its signature, made next to the scan and aggregated
-   before the shuffle, so a very common line costs no more than others.
+   MINIMA reorderings (a part of the hashes first, there by exclusive-or with a constant) is its signature, made next
+   to the scan and aggregated before the shuffle, so a very common line costs no more than others.
 2. Banding: the minima are put together in WAYS ways, ROWS at a time, and in one more way among the lines that
    then share a band. A pair of Jaccard similarity 0.8 meets in one of the WAYS with a probability of 0.991, of 0.85
    with 0.998, of 0.5 with 0.49; where both lines share bands with any, of 0.996, 0.999 and 0.60. Band keys of one
@@ -13,6 +13,7 @@ Lines are normalised (lower case, no white space at the ends) and known by a 64-
    Pairs that their lines' marks (size and parities of the set, a few bytes) rule out go without their sets being
    moved. The rest is verified by the exact Jaccard similarity of the shingle sets, each pair once: on sets of 32-bit
    hashes, and where one or two equal hashes of different shingles could turn the verdict, on the lines themselves.
+   One pair a line goes first; then those whose lines lie in one component already need no verifying.
 4. Verified pairs become components by distributed union-find. Lines of bands that now lie in one component, or
    of which all pairs were seen, are done.
 5. In the other bands the lines of different components are compared pair by pair on their marks. Where these pairs
@@ -28,7 +29,9 @@ columns stay whatever their names, but for the count that ``dedup_lines`` adds u
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from math import ceil
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -40,12 +43,15 @@ from inkwell.llm.components import components
 SHINGLE, PERCENT = 8, 80
 MINIMA, ROWS, WAYS = 24, 4, 2
 PIVOTS = 4
-#: Shingles of a row; their least is taken before the aggregation looks up the line.
-FOLD = 2
+#: A minimum is taken of the shingles of one part, by the last bits of their hashes.
+PARTS = 8
 #: Bands of n lines with at most DIRECT * n pairs across components are compared pair by pair; any number loses no link.
 DIRECT = 512
 #: Bands whose keys are counted at once; bounds the shuffle files.
 BANDS_AT_ONCE = 6
+#: Pairs of which the sets, and pairs or cells of which the marks, are moved at once, as parts of the number of lines, but LEAST
+#: at least; both bound the shuffle files to about half of the input, and any number gives the same links.
+SETS_AT_ONCE, MARKS_AT_ONCE, LEAST = 1 / 16, 1 / 2, 1 << 15
 #: Counters of the table that orders shingles rare first; any order gives the same links.
 RARITY_BITS = 18
 #: 64-bit words of a line's parities, 2 ** 4; any number gives the same links.
@@ -94,24 +100,34 @@ def _n_shingles(units: Column) -> Column:
     return F.greatest(F.lit(1), (F.octet_length(units) / 2).cast("int") - SHINGLE + 1)
 
 
-def _cut_at(units: Column, at: Column) -> Column:
-    return F.substring(units, 2 * at - 1, F.lit(2 * SHINGLE))
+def _starts(units: Column) -> Column:
+    """Where in the bytes of ``units`` its shingles start."""
+    return F.sequence(F.lit(1), 2 * _n_shingles(units) - 1, F.lit(2))
+
+
+def _cut_at(units: Column, start: Column) -> Column:
+    return F.substring(units, start, F.lit(2 * SHINGLE))
 
 
 def _shingle_set(norm: str) -> Column:
     """Bound through a one-element array, so the text is encoded once and not for every shingle."""
-    return F.transform(F.array(_units(norm)), lambda u: F.array_distinct(F.transform(F.sequence(F.lit(1), _n_shingles(u)), lambda p: F.xxhash64(_cut_at(u, p)))))[0]
+    return F.transform(F.array(_units(norm)), lambda u: F.array_distinct(F.transform(_starts(u), lambda p: F.xxhash64(_cut_at(u, p)))))[0]
 
 
 def signatures(norms: DataFrame) -> DataFrame:
-    """(lid, minima: array<int>) of every distinct line; the shingles of a line never leave its task."""
+    """(lid, minima: array<int>) of every distinct line; the shingles of a line never leave its task.
+
+    Minimum k is over one part's shingles, or where a line has none there, over those of the next part that it has
+    in an order of k's own. So it is the least of the whole set under a fixed order of all shingles, like any
+    minimum, and a shingle is compared for MINIMA / PARTS of the minima only.
+    """
     units = norms.select("lid", _units().alias("units"))
-    last = _n_shingles(F.col("units"))
-    places = units.select("lid", "units", F.explode(F.sequence(F.lit(1), last, F.lit(FOLD))).alias("p"))
-    each = places.select("lid", *[F.hash(_cut_at(F.col("units"), F.least(F.col("p") + j, last))).alias(f"s{j}") for j in range(FOLD)])
-    folded = [F.least(*[F.col(f"s{j}").bitwiseXOR(F.lit(c)) for j in range(FOLD)]) for c in _constants(MINIMA, 32)]
-    least = each.groupBy("lid").agg(*[F.min(f).alias(f"m{k}") for k, f in enumerate(folded)])
-    return least.select("lid", F.array(*[f"m{k}" for k in range(MINIMA)]).alias("minima"))
+    each = units.select("lid", "units", F.explode(_starts(F.col("units"))).alias("p")).select("lid", F.hash(_cut_at(F.col("units"), F.col("p"))).alias("s"))
+    own = MINIMA // PARTS
+    least = [F.expr(f"min(s ^ ({c})) filter (where part = {k // own})").alias(f"m{k}") for k, c in enumerate(_constants(MINIMA, 32))]
+    found = each.withColumn("part", F.col("s").bitwiseAND(F.lit(PARTS - 1))).groupBy("lid").agg(*least)
+    minima = [F.coalesce(*[F.col(f"m{(k // own ^ d) * own + k % own}") for d in range(PARTS)]) for k in range(MINIMA)]
+    return found.select("lid", F.array(*minima).alias("minima"))
 
 
 def _cells(signed: DataFrame, first: int, n: int) -> DataFrame:
@@ -125,7 +141,7 @@ def _shared_cells(signed: DataFrame, scratch: Scratch, places: range) -> DataFra
     out = None
     for k in places:
         cells = _cells(signed, k, places.step)
-        shared = cells.groupBy("band").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).filter("lo <> hi").select("band")
+        shared = cells.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
         shared = scratch.cut(shared, f"shared-{k}")
         free_shuffles(scratch.spark)
         live = scratch.cut(among(cells, "band", shared), f"live-{k}")
@@ -133,9 +149,23 @@ def _shared_cells(signed: DataFrame, scratch: Scratch, places: range) -> DataFra
     return out
 
 
+def _in_turns(rows: DataFrame, keys: list[str], most: float, work: Callable[[DataFrame, str], DataFrame], scratch: Scratch) -> DataFrame:
+    """What ``work`` makes of ``rows``, dealt by ``keys`` into parts of about ``most`` rows. A part's shuffle files go before the next one's come.
+
+    ``work`` gets a part and what its tables' names end with, and returns a written table.
+    """
+    out, turns = None, max(1, ceil(rows.count() / max(most, LEAST)))
+    for t in range(turns):
+        part = rows.filter(F.pmod(F.xxhash64(*keys), F.lit(turns)) == t) if turns > 1 else rows
+        done = work(part, f"-{t}" if t else "")
+        free_shuffles(scratch.spark)
+        out = done if out is None else out.union(done)
+    return out
+
+
 def _sets(texts: DataFrame) -> DataFrame:
     """(lid, n, set): the distinct 32-bit hashes of each line's shingles."""
-    hashed = F.transform(F.array(_units()), lambda u: F.array_distinct(F.transform(F.sequence(F.lit(1), _n_shingles(u)), lambda p: F.hash(_cut_at(u, p)))))[0]
+    hashed = F.transform(F.array(_units()), lambda u: F.array_distinct(F.transform(_starts(u), lambda p: F.hash(_cut_at(u, p)))))[0]
     return texts.repartition("lid").select("lid", hashed.alias("set")).select("lid", F.size("set").alias("n"), "set")
 
 
@@ -166,8 +196,12 @@ def _hopeful() -> Column:
     return (100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2")) & ((100 + PERCENT) * (both + 4 - _least_difference()) >= 2 * PERCENT * both)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) of which the shingle sets are similar enough."""
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, scratch: Scratch, name: str, most: float) -> DataFrame:
+    """The pairs (a, b) of which the shingle sets are similar enough; the sets of ``most`` pairs are moved at once."""
+    return _in_turns(pairs, ["a", "b"], most, lambda part, end: _verified_part(part, sets, texts, scratch, name + end), scratch)
+
+
+def _verified_part(pairs: DataFrame, sets: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     own = lambda k: likely(sets, "lid", pairs.select(k).distinct()).select(F.col("lid").alias(k), F.col("n").alias(f"n{k}"), F.col("set").alias(f"set{k}"))
     near = pairs.join(own("b"), "b").join(own("a"), "a")
     over = (100 + PERCENT) * F.size(F.array_intersect("seta", "setb")) - PERCENT * (F.col("na") + F.col("nb"))
@@ -184,6 +218,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, scratch: Scra
     return scratch.cut(found.filter(F.col("over") > 2 * (100 + PERCENT)).select("a", "b").union(exact), f"{name}-links")
 
 
+def _pivot_components(pairs: DataFrame, sets: DataFrame, texts: DataFrame, scratch: Scratch, most: float) -> DataFrame:
+    """(node, root): the components that the similar ones of ``pairs`` (a < b, distinct) make.
+
+    A pair for each line is verified first. Of the others only those whose lines don't yet lie in one component need be.
+    """
+    lead = scratch.cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "lead")
+    known = components(_verified(lead, sets, texts, scratch, "first", most), scratch, "led")
+    root = lambda k: known.select(F.col("node").alias(k), F.col("root").alias(f"r{k}"))
+    others = pairs.join(lead, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
+    others = scratch.cut(others.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "others")
+    scratch.drop("lead")
+    free_shuffles(scratch.spark)
+    more = _verified(others, sets, texts, scratch, "second", most)
+    return components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), scratch, "known")
+
+
 def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -195,11 +245,18 @@ def _with_pivots(live: DataFrame) -> DataFrame:
     return least.select("band", "n", F.array_distinct(F.array(*[F.col(f"p{k}").bitwiseXOR(w) for k, w in enumerate(ways)])).alias("pivots"))
 
 
-def direct_pairs(cells: DataFrame, marks: DataFrame, scratch: Scratch) -> DataFrame:
+def direct_pairs(cells: DataFrame, marks: DataFrame, scratch: Scratch, most: float) -> DataFrame:
     """(a, b): the pairs of lines of one band and different components that can reach the similarity. ``cells``: band, lid, comp."""
-    met = scratch.cut(cells.join(marks, "lid"), "cells")
     across = (F.col("comp") != F.col("comp2")) & (F.col("lid") < F.col("lid2"))
-    return met.join(_other(met, "band"), "band").filter(across & _hopeful()).select(F.col("lid").alias("a"), F.col("lid2").alias("b")).distinct()
+
+    def meet(part: DataFrame, end: str) -> DataFrame:
+        met = scratch.cut(part.join(marks, "lid"), f"cells{end}")
+        near = met.join(_other(met, "band"), "band").filter(across & _hopeful()).select(F.col("lid").alias("a"), F.col("lid2").alias("b")).distinct()
+        near = scratch.cut(near, f"direct{end}")
+        scratch.drop(f"cells{end}")
+        return near
+
+    return _in_turns(cells, ["band"], most, meet, scratch)
 
 
 def prefix_pairs(opened: DataFrame, marks: DataFrame, scratch: Scratch) -> DataFrame:
@@ -222,7 +279,7 @@ def prefix_pairs(opened: DataFrame, marks: DataFrame, scratch: Scratch) -> DataF
     # shingles of one edit stand in the prefixes of the same lines: the first in order speaks for all
     first = shares.filter("lo <> hi").groupBy("c", "who").agg(F.min(F.struct("seen", "s", F.col("top.comp").alias("top"))).alias("f"))
     mixed = scratch.cut(first.select("f.s", "f.top"), "mixed")
-    met = scratch.cut(posts.drop("seen").join(mixed, "s"), "met")
+    met = scratch.cut(likely(posts.drop("seen"), "s", mixed.select("s")).join(mixed, "s"), "met")
     scratch.drop("posts", "rarity", "mixed")
     free_shuffles(scratch.spark)
     x = met.filter("comp <> top")
@@ -240,6 +297,7 @@ def line_links(norms: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): the component of every distinct line that is similar to another, but for the roots. ``norms``: the table of that name."""
     spark = scratch.spark
     signed = scratch.cut(signatures(norms), "signed")
+    n_lines = signed.count()
     free_shuffles(spark)
     live = _shared_cells(signed, scratch, range(0, BANDS, BANDS_AT_ONCE))
     again = scratch.cut(among(signed, "lid", live.select("lid").distinct()), "again")
@@ -252,11 +310,12 @@ def line_links(norms: DataFrame, scratch: Scratch) -> DataFrame:
     marks = scratch.cut(_marks(sets), "marks")
     bands = scratch.cut(_with_pivots(live), "bands")
     star = live.join(bands.select("band", F.explode("pivots").alias("pivot")), "band").filter("lid <> pivot")
-    met = star.select(*_ordered(F.col("lid"), F.col("pivot"))).distinct()
-    marked = met.join(marks.withColumnRenamed("lid", "a"), "a").join(_other(marks).withColumnRenamed("lid2", "b"), "b")
-    pairs = scratch.cut(marked.filter(_hopeful()).select("a", "b"), "pairs")
+    star = scratch.cut(star.select(*_ordered(F.col("lid"), F.col("pivot"))).distinct(), "star")
     free_shuffles(spark)
-    known = components(_verified(pairs, sets, texts, scratch, "first"), scratch, "known")
+    marked = lambda part: part.join(marks.withColumnRenamed("lid", "a"), "a").join(_other(marks).withColumnRenamed("lid2", "b"), "b")
+    pairs = _in_turns(star, ["a", "b"], MARKS_AT_ONCE * n_lines, lambda part, end: scratch.cut(marked(part).filter(_hopeful()).select("a", "b"), f"pairs{end}"), scratch)
+    scratch.drop("star")
+    known = _pivot_components(pairs, sets, texts, scratch, SETS_AT_ONCE * n_lines)
     free_shuffles(spark)
 
     comp = F.coalesce("root", "lid").alias("comp")
@@ -265,15 +324,15 @@ def line_links(norms: DataFrame, scratch: Scratch) -> DataFrame:
     counts = marked.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("within"))
     split = scratch.cut(counts.filter("within < double(n) * n").select("band", (F.col("n").cast("double") * F.col("n") - F.col("within") <= 2 * DIRECT * F.col("n")).alias("direct")), "split")
     scratch.drop("again", "bands", "pairs", *[f"{t}-{k}" for t in ("shared", "live") for k in range(0, len(_GROUPS))])
-    rest = direct_pairs(marked.join(split.filter("direct").select("band"), "band", "left_semi"), marks, scratch)
+    rest = direct_pairs(marked.join(split.filter("direct").select("band"), "band", "left_semi"), marks, scratch, MARKS_AT_ONCE * n_lines).distinct()
     opened = marked.join(split.filter("not direct").select("band"), "band", "left_semi").select("lid", "comp").distinct()
     if not opened.isEmpty():
         opened = scratch.cut(opened.join(sets, "lid"), "opened")
         rest = rest.union(prefix_pairs(opened, marks, scratch)).distinct()
     rest = scratch.cut(rest, "rest")
-    scratch.drop("marked", "split", "cells", "opened", "met", "marks")
+    scratch.drop("marked", "split", "opened", "met", "marks")
     free_shuffles(spark)
-    late = _verified(rest, sets, texts, scratch, "late")
+    late = _verified(rest, sets, texts, scratch, "late", SETS_AT_ONCE * n_lines)
     scratch.drop("sets", "rest", "texts")
     free_shuffles(spark)
     if late.isEmpty():

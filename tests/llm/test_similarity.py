@@ -189,6 +189,48 @@ def test_bands_of_many_components(spark, monkeypatch, direct):
     assert made["late-links"] and (made["cells"] > 0) == (direct > 0) and ("opened" in made) == (direct == 0)
 
 
+def test_pairs_move_in_turns(spark, monkeypatch):
+    """However many pairs meet, what they need is moved for a bounded number at once, and every pair has its turn."""
+    monkeypatch.setattr(line_dedup, "LEAST", 1)
+    scratch, made = Scratch(spark, "t"), {}
+    pairs = spark.range(1000).select((F.col("id") % 7).alias("a"), F.col("id").alias("b"))
+
+    def work(part, end):
+        out = scratch.cut(part, f"part{end}")
+        made[end] = out.count()
+        return out
+
+    got = line_dedup._in_turns(pairs, ["a", "b"], 400, work, scratch)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in pairs.collect())
+    assert list(made) == ["", "-1", "-2"] and max(made.values()) < 400
+    assert line_dedup._in_turns(pairs.limit(0), ["a", "b"], 400, work, scratch).count() == 0
+
+
+def test_one_component_is_verified_once(spark, monkeypatch):
+    """Lines that all are similar meet several pivots, but the sets of about one pair a line are moved."""
+    made = counted_tables(monkeypatch)
+    df = spark.createDataFrame(list(enumerate(family(120, [1, 2]))), "doc_id long, text string")
+    got = {r.keep_doc_id for r in line_dedup.line_classes(df, Scratch(spark, "t")).collect()}
+    assert got == {0} and made["pairs"] > 2 * 120
+    assert sum(n for k, n in made.items() if k.endswith("-near")) < 1.5 * 120
+
+
+def test_minima_agree_as_sets_do(spark):
+    """Two lines share a minimum as often as a shingle of both is one of both, however short they are; nothing depends on copies."""
+    rng, letters = random.Random(8), "abcdefghijklmnopqrstuvwxyz"
+    for n in (9, 14, 40, 300):
+        lines = []
+        for _ in range(150):
+            line = [rng.choice(letters) for _ in range(n)]
+            lines += ["".join(line), "".join([*line[:-2], "#", "#"])]
+        df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)] * 2, "lid long, norm string")
+        got = {r.lid: r.minima for r in line_dedup.signatures(df.repartition(3)).collect()}
+        assert len(got) == 300 and all(len(m) == line_dedup.MINIMA and None not in m for m in got.values())
+        same = sum(a == b for k in range(0, 300, 2) for a, b in zip(got[k], got[k + 1])) / (150 * line_dedup.MINIMA)
+        x, y = line_set(lines[0]), line_set(lines[1])
+        assert abs(same - len(x & y) / len(x | y)) < 0.06
+
+
 def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "some line of text here"), (1, "some line of text here"), (2, "some line of text here\nown line"), (None, "some line of text here")], "doc_id long, text string")
     df = df.withColumns({c: F.lit("mine") for c in ("_key", "_out_of", "dk", "gone", "n_lines_removed", "lid", "norm", "bit", "word", "set")})
