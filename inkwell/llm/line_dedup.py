@@ -50,7 +50,7 @@ DIRECT = 512
 #: Bands whose keys are counted at once; bounds the shuffle files.
 BANDS_AT_ONCE = 6
 #: Pairs of which the sets, and pairs or cells of which the marks, are moved at once, as parts of the number of lines, but LEAST
-#: at least; both bound the shuffle files to about half of the input, and any number gives the same links.
+#: at least; both bound the shuffle files, and any number gives the same links.
 SETS_AT_ONCE, MARKS_AT_ONCE, LEAST = 1 / 16, 1 / 2, 1 << 15
 #: Counters of the table that orders shingles rare first; any order gives the same links.
 RARITY_BITS = 18
