@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,26 @@ def free_shuffles(spark: SparkSession) -> None:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     time.sleep(0.3)
+    trim_native(spark)
+
+
+def trim_native(spark: SparkSession) -> bool:
+    """Gives memory that the driver's JVM has freed outside its heap back to the system; whether it could.
+
+    The C library keeps what compiler threads and codecs freed, and in a long run with many plans that adds up. A JVM that
+    doesn't know the command (before 17.0.9, or not on Linux) keeps it.
+    """
+    jvm, java = spark.sparkContext._jvm, spark.sparkContext._gateway
+    # by the interface's method, as the class of the server isn't open to reflection
+    server = jvm.java.lang.Class.forName("javax.management.MBeanServer")
+    (invoke,) = [m for m in server.getMethods() if m.getName() == "invoke"]
+    args = java.new_array(jvm.java.lang.Object, 4)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JJavaError:
+        return False
+    return True
 
 
 #: Bits of the bitmap in ``among``; a constant, so what it broadcasts doesn't grow with the data.

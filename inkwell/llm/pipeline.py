@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import jaccard_join, language, line_dedup, mixing, packing
-from inkwell.llm.common import WORD, Scratch, free_name, table
+from inkwell.llm.common import WORD, Scratch, free_name, free_shuffles, table
 from inkwell.llm.tokens import tokenizer_path
 
 
@@ -22,6 +22,7 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the models reject go. Learned from labelled rows, chosen by hash."""
+    free_shuffles(spark)
     models = language.train(language.training_rows(docs, F.lit(True)), Scratch(spark, "p-language"))
     return language.accepted_rows(docs, models)
 
@@ -40,12 +41,14 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources brought to their target weights; a row for every pass in which something of a document is taken."""
+    free_shuffles(spark)
     mixed, _, _ = mixing.mix(docs, scratch := Scratch(spark, "p-mix"))
     return _counted(mixing.with_text(scratch.cut(mixed, "mixed"), docs, free_name(docs, "turn")), docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences packed into windows of 2048."""
+    free_shuffles(spark)
     return packing.pack(docs, Scratch(spark, "p-pack"), tokenizer_path("byte_bpe_50k.json"))
 
 
