@@ -171,9 +171,9 @@ def _sets(texts: DataFrame) -> DataFrame:
 
 def _marks(sets: DataFrame) -> DataFrame:
     """(lid, n, w0_, w1_, ...): the size of each line's set, and for every bit whether an odd number of shingles falls on it."""
-    bit = F.expr("shiftleft(1L, shiftright(s, 4) & 63)")
-    words = [F.bit_xor(F.when(F.col("s").bitwiseAND(F.lit(WORDS - 1)) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}_") for k in range(WORDS)]
-    return sets.select("lid", "n", F.explode("set").alias("s")).groupBy("lid", "n").agg(*words)
+    each = sets.select("lid", "n", F.explode("set").alias("s")).select("lid", "n", F.expr(f"s & {WORDS - 1}").alias("word"), F.expr("shiftleft(1L, shiftright(s, 4) & 63)").alias("bit"))
+    words = [F.expr(f"coalesce(bit_xor(bit) filter (where word = {k}), 0L)").alias(f"w{k}_") for k in range(WORDS)]
+    return each.groupBy("lid", "n").agg(*words)
 
 
 def _other(df: DataFrame, *same: str) -> DataFrame:

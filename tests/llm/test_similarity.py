@@ -2,7 +2,7 @@
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,6 +175,22 @@ def test_unlike_pairs_move_no_sets(spark, monkeypatch):
     assert made["sets"] > 50 and made["first-near"] + made["late-near"] < 20
 
 
+def test_marks(spark):
+    """Parities against brute force; a shingle changes its own word only, the others aren't worked out for it."""
+    rng = random.Random(14)
+    sets = [[], [0], [-1, -(1 << 31)], *[rng.sample(range(-(1 << 31), 1 << 31), n) for n in (3, 40, 700)]]
+    df = spark.createDataFrame([(k, len(x), x) for k, x in enumerate(sets)], "lid long, n int, set array<int>")
+    marks = line_dedup._marks(df)
+    got = {r.lid: r for r in marks.collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5]
+    for k, r in got.items():
+        odd = Counter((x % line_dedup.WORDS, x >> 4 & 63) for x in sets[k])
+        assert r.n == len(sets[k])
+        for w in range(line_dedup.WORDS):
+            assert r[f"w{w}_"] % (1 << 64) == sum(1 << b for (v, b), c in odd.items() if v == w and c % 2)
+    assert marks._jdf.queryExecution().optimizedPlan().toString().count("FILTER (WHERE") == line_dedup.WORDS
+
+
 @pytest.mark.parametrize("direct", [0, 512])
 def test_bands_of_many_components(spark, monkeypatch, direct):
     """The rest of a band, pair by pair and by prefixes, against brute force."""
