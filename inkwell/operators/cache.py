@@ -29,6 +29,22 @@ def probe(candidates: DataFrame, cached: DataFrame) -> tuple[DataFrame, DataFram
     return a.join(b, on).select("a.*", "b.text"), a.join(b, on, "left_anti").select("a.*")
 
 
+def probe_few(candidates: DataFrame, cached: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``probe``, for a ``TextCache``: its keys are few by its limits, so they go to the candidates.
+
+    A shuffle would deal the candidates, which are small, into so few tasks that reading the files is not shared out.
+    """
+    key = ["path", "size", "modified"]
+
+    def on(left: str, right: str):
+        return (F.col(f"{left}.path") == F.col(f"{right}.path")) & (F.col(f"{left}.size") == F.col(f"{right}.size")) & F.col(f"{left}.modified").eqNullSafe(F.col(f"{right}.modified"))
+
+    a, keys = candidates.alias("a"), F.broadcast(cached.select(*key).distinct()).alias("k")
+    held = F.broadcast(a.join(keys, on("a", "k"), "left_semi")).alias("h")
+    hits = held.join(cached.dropDuplicates(key).alias("b"), on("h", "b")).select("h.*", "b.text")
+    return hits, a.join(keys, on("a", "k"), "left_anti")
+
+
 def storable(texts: DataFrame) -> DataFrame:
     """The rows that are kept: errors and texts over the entry limit aren't."""
     return texts.filter(F.col("text").isNotNull() & (F.octet_length("text") <= CACHE_ENTRY_LIMIT_BYTES)).select(*CACHE_SCHEMA.names)

@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions.labels import file_name, parent_dir
-from inkwell.functions.matching import trimmed
+from inkwell.functions.matching import compile_query, snippets, trimmed
 from inkwell.model import SearchOptions, SortOrder
-from inkwell.operators.cache import TextCache, probe
-from inkwell.operators.results import as_results, match_rows, save_csv, sort_results, summary
-from inkwell.sources.extract import extract_files
-from inkwell.sources.listing import list_candidates, read_content
+from inkwell.operators.cache import TextCache, probe_few
+from inkwell.operators.results import as_results, save_csv, sort_results, summary
+from inkwell.sources.extract import extract_listed
+from inkwell.sources.listing import list_candidates
 
 _ids = itertools.count(1)
 RESULT_SCHEMA = "file string, file_type string, matches array<struct<context:string>>, modified timestamp"
@@ -73,9 +73,12 @@ class Search:
         return summary(self.results)
 
 
-def extracted(candidates: DataFrame) -> DataFrame:
-    """path, ext, size, modified, text, error_code, error."""
-    return extract_files(read_content(candidates))
+def told(texts: DataFrame, opts: SearchOptions) -> DataFrame:
+    """Of extracted files those that match, with ``matches``, or failed, with ``error_code`` and ``error``: both in one pass."""
+    pattern = compile_query(opts.query, opts.ignore_case)
+    failed = F.col("error_code").isNotNull()
+    matches = F.transform(snippets(F.col("text"), pattern, opts.context_size), lambda s: F.struct(s.alias("context")))
+    return texts.filter(failed | F.col("text").rlike(pattern)).select("path", "ext", "modified", "error_code", "error", F.when(~failed, matches).alias("matches"))
 
 
 def run_search(spark: SparkSession, opts: SearchOptions, cache: TextCache | None = None, search: Search | None = None, progress=None) -> Search:
@@ -97,24 +100,19 @@ def run_search(spark: SparkSession, opts: SearchOptions, cache: TextCache | None
             progress(0, total)
         hits = None
         if cache is not None and opts.use_cache:
-            hits, misses = probe(candidates, cache.table())
+            hits, misses = probe_few(candidates, cache.table())
             n_cached = hits.count()
-            texts = extracted(misses)
+            texts = extract_listed(misses).persist()  # also for the cache
         else:
-            texts = extracted(candidates)
-        texts = texts.persist()
-        failed = texts.filter(F.col("error_code").isNotNull()).select(F.col("path").alias("file"), "error_code", "error")
-        good = texts.filter(F.col("error_code").isNull()).select("path", "ext", "size", "modified", "text")
-        pool = good if hits is None else good.unionByName(hits.select(*good.columns))
-        found = as_results(match_rows(pool, opts.query, opts.ignore_case, opts.context_size)).persist()
-        found.count()
-        results = found
-        failed = failed.persist()
-        failed.count()
-        errors = failed
+            texts = extract_listed(candidates)
+        pool = texts if hits is None else texts.unionByName(hits, allowMissingColumns=True)
+        kept = told(pool, opts).persist()
+        kept.count()
+        results = as_results(kept.filter(F.col("error_code").isNull()))
+        errors = kept.filter(F.col("error_code").isNotNull()).select(F.col("path").alias("file"), "error_code", "error")
         if hits is not None:
-            cache.insert(good)
-        texts.unpersist()
+            cache.insert(texts.filter(F.col("error_code").isNull()))
+            texts.unpersist()
         if progress:
             progress(total, total)
     except Exception:

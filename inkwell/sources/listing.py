@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import pickle
 import stat
+import zlib
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -45,9 +46,11 @@ def walk(opts: SearchOptions, cancelled: Callable[[], bool] = lambda: False) ->
                     if opts.recursive and e.name not in _EXCLUDED:
                         pending.append(e.path)
                     continue
-                if not stat.S_ISREG(os.stat(e.path).st_mode) or ext_of(e.name) not in wanted:
+                if ext_of(e.name) not in wanted:
                     continue
                 info = e.stat(follow_symlinks=False)
+                if not stat.S_ISREG(os.stat(e.path).st_mode if e.is_symlink() else info.st_mode):
+                    continue
                 size, modified = info.st_size, dt.datetime.fromtimestamp(info.st_mtime, dt.timezone.utc)
             except OSError:
                 continue
@@ -55,13 +58,19 @@ def walk(opts: SearchOptions, cancelled: Callable[[], bool] = lambda: False) ->
                 continue
             if after is not None and modified < (after if after.tzinfo else after.replace(tzinfo=dt.timezone.utc)):
                 continue
-            path = os.path.realpath(e.path)
+            path = os.path.realpath(e.path) if e.is_symlink() else e.path  # the folders walked are real already
             yield path, ext_of(path), size, modified
 
 
 class _Part(InputPartition):
+    """Rows of the walk, packed: the driver holds all parts at once."""
+
     def __init__(self, rows):
-        self.rows = rows
+        self.packed = zlib.compress(pickle.dumps(rows), 1)
+
+    @property
+    def rows(self):
+        return pickle.loads(zlib.decompress(self.packed))
 
 
 class _Reader(DataSourceReader):
@@ -80,7 +89,7 @@ class _Reader(DataSourceReader):
             modified_after=dt.datetime.fromisoformat(after) if after else None,
         )
         self.chunk_bytes = int(options.get("chunkbytes", 64 * 1024 * 1024))
-        self.open_cost = int(options.get("opencost", 1024 * 1024))
+        self.open_cost = int(options.get("opencost", 128 * 1024))
 
     def partitions(self):
         parts, rows, held = [], [], 0
@@ -123,24 +132,3 @@ def list_candidates(spark: SparkSession, opts: SearchOptions) -> DataFrame:
     if opts.modified_after is not None:
         r = r.option("modifiedAfter", opts.modified_after.isoformat())
     return r.load(str(opts.directory))
-
-
-def read_content(candidates: DataFrame) -> DataFrame:
-    """Adds ``content`` (null where a file can't be read), a few files at a time."""
-    import pyarrow as pa
-
-    names = candidates.columns
-    schema = T.StructType([*candidates.schema.fields, T.StructField("content", T.BinaryType())])
-
-    def run(batches):
-        for b in batches:
-            paths = b.column(names.index("path")).to_pylist()
-            for i, p in enumerate(paths):
-                try:
-                    raw = Path(p).read_bytes()
-                except OSError:
-                    raw = None
-                row = b.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([raw], pa.binary())], names=[*names, "content"])
-
-    return candidates.mapInArrow(run, schema)

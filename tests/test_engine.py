@@ -244,3 +244,38 @@ def test_unpacked_limit_counts_what_is_read(monkeypatch):
     assert extract_bytes("odt", _zipped(media | {"content.xml": "<p>c</p>", "styles.xml": "<p>s</p>"}))[:2] == ("c\ns\n", None)
     assert extract_bytes("docx", _zipped({"word/document.xml": word(600), "word/header1.xml": word(600)}))[1] == "ZIP_INVALID"
     assert extract_bytes("odt", _zipped({"content.xml": "<p>c</p>", "styles.xml": f"<p>{'s' * 1000}</p>"}))[1] == "ZIP_INVALID"
+
+
+def test_many_small_files_are_read_in_few_tasks(spark, tmp_path):
+    from inkwell.sources.extract import extract_listed
+    from inkwell.sources.listing import list_candidates
+
+    for k in range(600):
+        (tmp_path / f"{k}.txt").write_text(f"text {k}")
+    (tmp_path / "p.fodt").write_text("<p>packed</p>")
+    (tmp_path / "bad.docx").write_text("junk")
+    files = list_candidates(spark, SearchOptions(directory=str(tmp_path))).persist()
+    assert files.rdd.getNumPartitions() == 2  # not one for every 64 files
+    gone = spark.createDataFrame([(str(tmp_path / x), x[-3:], 1, None) for x in ("a.txt", "b.pdf")], files.schema)
+    got = {os.path.basename(r.path): (r.text, r.error_code) for r in extract_listed(files.coalesce(1).unionByName(gone)).collect()}
+    want = {f"{k}.txt": (f"text {k}", None) for k in range(600)}
+    assert got == want | {"p.fodt": ("packed\n", None), "bad.docx": (None, "ZIP_INVALID"), "a.txt": (None, "IO_READ"), "b.pdf": (None, "IO_READ")}
+    files.unpersist()
+
+
+def test_cache_probe_leaves_the_files_shared_out(spark):
+    from inkwell.operators.cache import probe_few
+
+    t = dt.datetime(2024, 1, 1)
+    cached = spark.createDataFrame([("/a", 1, None, "x"), ("/b", 1, t, "y"), ("/b", 1, t, "y")], CACHE_SCHEMA)
+    files = spark.createDataFrame([("/a", 1, None), ("/b", 2, t), ("/b", 1, t), ("/b", 1, t)] + [(f"/f{k}", k, t) for k in range(90)], "path string, size long, modified timestamp").repartition(16).persist()
+    hits, misses = probe_few(files, cached)
+    assert sorted(map(str, hits.collect())) == sorted(map(str, probe(files, cached)[0].collect())) and len(hits.collect()) == 3
+    assert sorted(map(str, misses.collect())) == sorted(map(str, probe(files, cached)[1].collect())) and len(misses.collect()) == 91
+    assert misses.rdd.getNumPartitions() == files.rdd.getNumPartitions() == 16
+    files.unpersist()
+
+
+def test_scanned_strings_end_as_before():
+    assert scan_strings(rb"(a\\) <4> (b\qc) <41 zz42") == "a\\ bqc " and scan_strings(b"(a) (lost <4142>") == "a " and scan_strings(b"(x\\") == ""
+    assert scan_strings(b"<0041 0b09>(\xe9)") == "A\t é "
