@@ -35,9 +35,12 @@ def write_tree(spark: SparkSession, files: DataFrame, make) -> str:
     base = _base(spark)
 
     def run(batches):
+        made = set()
         for b in batches:
             for path, ext, text in zip(*(c.to_pylist() for c in b.columns)):
-                os.makedirs(os.path.dirname(base + path), exist_ok=True)
+                if (folder := os.path.dirname(base + path)) not in made:
+                    os.makedirs(folder, exist_ok=True)
+                    made.add(folder)
                 with open(base + path, "wb") as out:
                     out.write(make(ext, text))
             yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
